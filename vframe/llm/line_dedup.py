@@ -37,9 +37,8 @@ def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> C
     return F.xxhash64(length, F.lit(i), F.substr(line, start + 1, size))
 
 
-def keys(line: Column, edits: int = EDITS) -> Column:
-    """Index keys (own) and probe keys of a line, as array<struct<key, own>>."""
-    n = F.length(line)
+def keys(line: Column, n: Column, edits: int = EDITS) -> Column:
+    """Index keys (own) and probe keys of a line of n code points, as array<struct<key, own>>."""
     out = []
     for shorter in range(edits + 1):
         length = n - shorter  # of the line that is probed for
@@ -62,40 +61,39 @@ def verified(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     error; a character of a alone steps one diagonal down, one of b alone one up.
     """
     band, full = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
-    start = F.array(*[F.lit(sum(1 << d for d in range(edits, edits + e + 1))) for e in range(edits + 1)])
-    letters = F.transform(F.split(F.col(a), ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-
-    def step(words: Column, letter: Column) -> Column:
-        same = lambda d: F.get(F.col("_other"), letter["i"] + (d - edits)) == letter["c"]
-        match = sum((F.when(same(d), 1 << d).otherwise(0) for d in range(1, band)), F.when(same(0), 1).otherwise(0))
-        state = F.struct(match.alias("match"), words.alias("words"))
-
-        def advanced(s: Column) -> Column:
-            fresh: list[Column] = []
-            for e in range(edits + 1):
-                word = F.get(s["words"], F.lit(e)).bitwiseAND(s["match"])
-                if e:
-                    less = F.get(s["words"], F.lit(e - 1))
-                    word = word.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(fresh[-1], 1))
-                fresh.append(word.bitwiseAND(F.lit(full)))
-            return F.array(*fresh)
-
-        return F.get(F.transform(F.array(state), advanced), F.lit(0))  # names the match once
-
-    last = F.length(b) - F.length(a) + edits + 1
-    goals = F.array(*[F.lit(1 << d) for d in range(band)])
-    return (
-        pairs.where(F.abs(F.length(a) - F.length(b)) <= edits)
-        .withColumns({"_other": F.split(F.col(b), ""), "_letters": letters, "_goal": F.element_at(goals, last)})
-        .withColumn("_words", F.aggregate("_letters", start, step))
-        .where(F.exists("_words", lambda w: w.bitwiseAND(F.col("_goal")) != 0))
-        .drop("_other", "_letters", "_goal", "_words")
-    )
+    first = F.array(*[F.lit(sum(1 << d for d in range(edits, edits + e + 1))) for e in range(edits + 1)])
+    # The state carries the other line's letters, as the optimiser would split them anew at each step.
+    start = F.struct(first.alias("words"), F.split(F.col(b), "").alias("other"), F.lit(0).alias("match"), F.lit(0).alias("i"))
+
+    def matched(s: Column, letter: Column) -> Column:
+        same = lambda d: F.get(s["other"], s["i"] + (d - edits)) == letter
+        return sum((F.when(same(d), 1 << d).otherwise(0) for d in range(1, band)), F.when(same(0), 1).otherwise(0))
+
+    def advanced(words: Column, match: Column) -> Column:
+        fresh: list[Column] = []
+        for e in range(edits + 1):
+            word = F.get(words, F.lit(e)).bitwiseAND(match)
+            if e:
+                less = F.get(words, F.lit(e - 1))
+                word = word.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(fresh[-1], 1))
+            fresh.append(word.bitwiseAND(F.lit(full)))
+        return F.array(*fresh)
+
+    def step(s: Column, letter: Column) -> Column:
+        with_match = F.array(s.withField("match", matched(s, letter)))  # a list of one, to name the match once
+        done = lambda t: t.withField("words", advanced(t["words"], t["match"])).withField("i", t["i"] + 1)
+        return F.get(F.transform(with_match, done), F.lit(0))
+
+    goal = F.element_at(F.array(*[F.lit(1 << d) for d in range(band)]), F.length(b) - F.length(a) + edits + 1)
+    reached = lambda s: F.exists(s["words"], lambda w: w.bitwiseAND(goal) != 0)
+    close = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits)
+    return close.where(F.aggregate(F.split(F.col(a), ""), start, step, reached))
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Links (a, b) among distinct lines (h long, line string) of LEAST code points or more."""
-    keyed = lines.where(F.length("line") >= LEAST).select("h", F.explode(keys(F.col("line"), edits)).alias("k")).select("h", "k.key", "k.own")
+    sized = lines.select("h", "line", F.length("line").alias("n")).where(F.col("n") >= LEAST)
+    keyed = sized.select("h", F.explode(keys(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "k.key", "k.own")
     by_key = Window.partitionBy("key")
     met = (
         keyed.withColumn("n", F.count("*").over(by_key))
@@ -131,8 +129,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(text, "\n", -1).alias("lines"))
     each = source.select("doc_id", F.posexplode("lines").alias("place", "line")).where("trim(line) <> ''")
     places = each.select("doc_id", "place", F.xxhash64("line").alias("h"))
-    distinct = each.select("line").distinct().select(F.xxhash64("line").alias("h"), "line")
+    distinct = written(each.select("line").distinct().select(F.xxhash64("line").alias("h"), "line"))
     links = near_lines(distinct, edits)
+    discard(distinct)
     groups = components(links).select(F.col("node").alias("h"), F.col("component").alias("class"))
     discard(links)
     first = places.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"))
