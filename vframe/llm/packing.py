@@ -16,7 +16,9 @@ the rest is cut into powers of two, so no sequence holds padding.
 
 from __future__ import annotations
 
+import base64
 import bisect
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,8 +34,6 @@ TIERS = (1024, 512, 256, 128, 64)
 STEP_TOKENS = 16 * WINDOW
 #: Pieces that wait in each tier of a task for a gap; beyond it the tier closes windows of its own size.
 RESERVE = 64
-#: Characters that are encoded at once.
-ENCODE_CHARS = 1 << 20
 END_ID = 0
 
 PIECES = (
@@ -121,7 +121,44 @@ class Packer:
         self.waiting = {t: [] for t in TIERS}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Encoder:
+    """Token ids of whole texts, as ``tokenizers`` gives them for the file at ``tokenizer_path``.
+
+    Where the same vocabulary is at hand as ranks, ``tiktoken`` computes the same ids at a fraction
+    of the cost. Texts that hold the string of a special token still go to ``tokenizers``, which
+    alone knows those.
+    """
+
+    def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None
+        if ranks_path:
+            import tiktoken
+
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of a text and END_ID."""
+        if self.fast is None or any(s in text for s in self.special):
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        else:
+            found = self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.append(found, np.uint32(END_ID))
+
+
+def pack(
+    docs: DataFrame,
+    tokenizer_path: str,
+    ranks_path: str | None = None,
+    pattern: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """Pack all documents into sequences of at most WINDOW tokens; one row for each piece.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the
@@ -133,9 +170,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
+        encoder = Encoder(tokenizer_path, ranks_path, pattern)
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         sizes: dict[int, int] = {}  # tokens in whole and part step groups by tier
@@ -166,18 +202,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             return batch
 
         for batch in batches:
-            at, texts = 0, batch.column(1)
-            while at < len(texts):
-                some, size = [], 0
-                while at + len(some) < len(texts) and (not some or size < ENCODE_CHARS) and len(some) < 512:
-                    some.append(texts[at + len(some)].as_py() or "")
-                    size += len(some[-1])
-                for i, encoding in enumerate(tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    ids = np.array([*encoding.ids, END_ID], np.uint32)
-                    tokens[packer.arrivals] = len(ids)
-                    packer.add(batch.column(0)[at + i].as_py(), ids)
-                at += len(some)
-                yield flush()
+            for doc, text in zip(*batch.columns, strict=True):
+                ids = encoder.ids(text.as_py() or "")
+                tokens[packer.arrivals] = len(ids)
+                packer.add(doc.as_py(), ids)
+                if len(rows) >= 4096:
+                    yield flush()
         packer.finish()
         yield flush()
 

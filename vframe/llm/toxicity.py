@@ -47,6 +47,9 @@ SEPARATORS = " \t.-_*~'"
 #: Log costs of the channel: a sign for a letter, a separator or a repeated letter for nothing.
 SIGN_COST, GAP_COST, REPEAT_COST, KEEP_COST = -1.0, -0.5, -0.7, -9.0
 
+#: Words whose readings, weights or counts a task remembers; beyond it the memory starts anew.
+REMEMBERED = 50_000
+
 ALPHABET = 28  # 0: outside a word, 1 to 26: a to z, 27: any other byte of a word
 _CLASS = np.full(256, 27, np.uint8)
 _CLASS[:128] = 0
@@ -143,7 +146,7 @@ def _words(text: str | None, model: CharModel, readings: dict[str, str]) -> set[
     text = (text or "").lower()
     spaced = [decode(m[0], model) for m in SPACED.finditer(text)]
     words = set(text.split())
-    if len(readings) > 300_000:
+    if len(readings) > REMEMBERED:
         readings.clear()
     for word in [w for w in words if w not in readings]:
         readings[word] = decode(word, model) if ODD.search(word) else word
@@ -209,15 +212,21 @@ def fit_lexicon(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("text", "toxic")
     once = rows.mapInArrow(_sketched, "text string, toxic int, key long").dropDuplicates(["key"]).select("text", "toxic")
 
+    def counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
+        names = list(seen[0].keys() | seen[1].keys())
+        counts = [pa.array([s[x] for x in names], pa.int64()) for s in (seen[1], seen[0])]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["feature", "toxic", "clean"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readings: dict[str, str] = {}
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen[toxic].update({stripped(w) for w in _words(text, model, readings)})
-            names = list(seen[0].keys() | seen[1].keys())
-            counts = [pa.array([s[x] for x in names], pa.int64()) for s in (seen[1], seen[0])]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["feature", "toxic", "clean"])
+            for text, toxic in zip(*batch.columns, strict=True):
+                seen[toxic.as_py()].update({stripped(w) for w in _words(text.as_py(), model, readings)})
+                if len(seen[0]) + len(seen[1]) > REMEMBERED:
+                    yield counted(seen)
+                    seen = (Counter(), Counter())
+            yield counted(seen)
 
     def best(counted: DataFrame) -> list:
         both = counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -266,7 +275,7 @@ def toxicity(
             texts, out = batch.column(1), []
             for i in range(len(texts)):
                 clean = 0.0  # log of the chance that no word makes the text toxic
-                if len(weights) > 300_000:
+                if len(weights) > REMEMBERED:
                     weights.clear()
                 for word in _words(texts[i].as_py(), model, readings):
                     weight = weights.get(word)
