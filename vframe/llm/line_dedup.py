@@ -5,7 +5,9 @@ and the other line holds one of them untouched, at a start that its number and t
 lengths allow. So each distinct line is indexed under its segments with its length, and
 probes the substrings of itself that could be a segment of a line up to EDITS shorter. Starts
 are those of multi-match selection: before segment i at most i - 1 edits, after it at
-most EDITS + 1 - i. Equal keys make candidates, which a banded bit-parallel edit distance verifies.
+most EDITS + 1 - i. Equal keys make candidates. As many lines may share a long passage, the join
+itself drops pairs whose letter parities differ in more bits than EDITS edits can change, and a
+banded bit-parallel edit distance verifies the rest.
 
 The verifier keeps, for each number of errors, a word whose bits are the 2 * EDITS + 1 diagonals
 of the band; one step for each character advances all of them by shifts and masks.
@@ -90,6 +92,12 @@ def verified(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     return close.where(F.aggregate(F.split(F.col(a), ""), start, step, reached))
 
 
+def letter_parities(line: Column) -> Column:
+    """64 bits: for each class of letters whether their number is odd. An edit changes two bits at most."""
+    flip = lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64))))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), flip)
+
+
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Links (a, b) among distinct lines (h long, line string) of LEAST code points or more."""
     sized = lines.select("h", "line", F.length("line").alias("n")).where(F.col("n") >= LEAST)
@@ -102,15 +110,21 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         .select("key", "h", "own")
     )
     met = written(met.distinct())
-    index = met.where("own").select("key", F.col("h").alias("a"))
-    pairs = met.select("key", F.col("h").alias("b"), "own").join(index, "key").where("a <> b and (not own or a < b)")
+    sized = lines.select("h", "line").join(met.select("h").distinct(), "h", "left_semi")
+    some = written(sized.withColumn("letters", letter_parities(F.col("line"))))
+    marked = met.join(some.select("h", "letters"), "h")
+    index = marked.where("own").select("key", F.col("h").alias("a"), F.col("letters").alias("letters_a"))
+    alike = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a"))) <= 2 * edits
+    probes = marked.select(F.col("key").alias("probe"), F.col("h").alias("b"), "letters", "own")
+    once = (F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b")))
+    pairs = probes.join(index, (F.col("probe") == F.col("key")) & alike & once)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    text = lines.select("h", "line")
-    full = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
-        text.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"
+    full = pairs.join(some.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
+        some.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"
     )
     out = written(verified(full, "line_a", "line_b", edits).select("a", "b").distinct())
     discard(met)
+    discard(some)
     return out
 
 
