@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vframe.llm.common import attach, components, discard, written
+from vframe.llm.common import attach, components, discard, width, written
 
 EDITS = 2
 #: Code points from which on a line may differ from its like; shorter ones link only when equal.
@@ -55,6 +55,23 @@ def keys(line: Column, n: Column, edits: int = EDITS) -> Column:
     return F.filter(F.array(*out), lambda k: k.isNotNull())
 
 
+def _common(a: Column, b: Column) -> Column:
+    """Length of the common beginning of two strings (up to 2**17), by halving steps."""
+    most = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+    same = lambda n: (n <= most) & (F.substr(a, F.lit(1), n) == F.substr(b, F.lit(1), n))
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(same(n + k), n + k).otherwise(n))
+
+
+def trimmed(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the common beginning and end taken off both strings, which leaves their edit distance."""
+    for _ in range(2):
+        tail = _common(F.col(a), F.col(b)) + 1
+        cut = lambda c: F.reverse(F.substr(F.col(c), F.col("_tail"), F.length(c)))  # noqa: B023, E731
+        pairs = pairs.withColumn("_tail", tail).withColumns({a: cut(a), b: cut(b)}).drop("_tail")
+    return pairs
+
+
 def verified(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     """The pairs whose strings are within ``edits`` edits, by banded bit-parallel simulation.
 
@@ -89,7 +106,7 @@ def verified(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     goal = F.element_at(F.array(*[F.lit(1 << d) for d in range(band)]), F.length(b) - F.length(a) + edits + 1)
     reached = lambda s: F.exists(s["words"], lambda w: w.bitwiseAND(goal) != 0)
     close = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits)
-    return close.where(F.aggregate(F.split(F.col(a), ""), start, step, reached))
+    return close.where(F.aggregate(F.filter(F.split(F.col(a), ""), lambda c: c != ""), start, step, reached))
 
 
 def letter_parities(line: Column) -> Column:
@@ -122,9 +139,11 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     full = pairs.join(some.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
         some.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"
     )
-    out = written(verified(full, "line_a", "line_b", edits).select("a", "b").distinct())
-    discard(met)
-    discard(some)
+    # Few pairs of long work: an even deal, and the middles written so that no step trims them again.
+    middles = written(trimmed(full, "line_a", "line_b").repartition(width(lines.sparkSession), "a", "b"))
+    out = written(verified(middles, "line_a", "line_b", edits).select("a", "b").distinct())
+    for done in (met, some, middles):
+        discard(done)
     return out
 
 
