@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from vframe.llm.common import discard, keep_only, written
 
-#: Labelled rows of either label that the lexicon is fitted on, at most; a documented bound.
-SAMPLE_PER_LABEL = 12_000
+#: Labelled rows that the lexicon is fitted on, at most; a documented bound. The sample is uniform, so that it
+#: keeps the share of toxic rows, which the bounds below are about.
+SAMPLE = 24_000
 #: Entries of the lexicon, at most; those of the highest bound stay.
 LEXICON = 8_192
 #: Normal deviate of the lower confidence bound, and the share it has to exceed.
@@ -202,15 +203,17 @@ def fit_lexicon(
 ) -> dict[str, float]:
     """Words, and word parts with a ``*``, with the share of toxic texts among those that have them.
 
-    At most SAMPLE_PER_LABEL rows of each label, the first by a hash of the
-    identifier, and one of each set of near copies; held-out rows are never read. Parts are
+    At most SAMPLE rows, the first by a hash of the identifier, and one of
+    each set of near copies; held-out rows are never read. Parts are
     counted over the words that the lexicon doesn't hold whole.
     """
-    known = labels.select(F.col(id_col).alias("id"), "toxic").where(~held_out(F.col("id")) & F.col("id").isNotNull())
-    by_hash = lambda t: known.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_LABEL)
-    sample = F.broadcast(by_hash(0).unionByName(by_hash(1)).dropDuplicates(["id"]))  # bounded above
+    known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.where(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("toxic").isin(0, 1))
+    one_each = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    sample = F.broadcast(one_each.orderBy(F.xxhash64("id"), "id").limit(SAMPLE))  # bounded
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select("text", "toxic")
-    once = rows.mapInArrow(_sketched, "text string, toxic int, key long").dropDuplicates(["key"]).select("text", "toxic")
+    sketched = rows.mapInArrow(_sketched, "text string, toxic int, key long")
+    once = sketched.groupBy("key").agg(F.min(F.struct("text", "toxic")).alias("row")).select("row.text", "row.toxic")
 
     def counted(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
         names = list(seen[0].keys() | seen[1].keys())
