@@ -17,6 +17,8 @@ All of it is column expressions; no Python runs on the executors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,18 @@ def trimmed(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs
 
 
+def plausible(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """False only if over ``edits`` edits part the strings: of edits + 1 segments of a, one must lie in b, shifted by ``edits`` at most."""
+    n = F.length(a)
+
+    def found(i: int) -> Column:
+        start, size = _segment(n, i, edits)
+        low = F.greatest(start - edits, F.lit(0))
+        return F.contains(F.substr(b, low + 1, start + size + edits - low), F.substr(a, start + 1, size))
+
+    return reduce(lambda x, y: x | y, [found(i) for i in range(1, edits + 2)], n <= edits)
+
+
 def verified(pairs: DataFrame, a: str, b: str, edits: int = EDITS) -> DataFrame:
     """The pairs whose strings are within ``edits`` edits, by banded bit-parallel simulation.
 
@@ -141,7 +155,8 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     )
     # Few pairs of long work: an even deal, and the middles written so that no step trims them again.
     middles = written(trimmed(full, "line_a", "line_b").repartition(width(lines.sparkSession), "a", "b"))
-    out = written(verified(middles, "line_a", "line_b", edits).select("a", "b").distinct())
+    likely = middles.where(plausible(F.col("line_a"), F.col("line_b"), edits))
+    out = written(verified(likely, "line_a", "line_b", edits).select("a", "b").distinct())
     for done in (met, some, middles):
         discard(done)
     return out
