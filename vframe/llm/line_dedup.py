@@ -29,32 +29,38 @@ EDITS = 2
 LEAST = 16
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column | int, edits: int) -> tuple[Column, Column]:
     """Start (from 0) and size of segment i (from 1): the later ones take what doesn't divide evenly."""
+    i = F.lit(i) if isinstance(i, int) else i
     size, longer = F.floor(length / (edits + 1)), length % (edits + 1)
     short = edits + 1 - longer  # segments of the smaller size
-    start = size * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - short)
-    return start.cast("int"), (size + (F.lit(i) > short).cast("int")).cast("int")
+    start = size * (i - 1) + F.greatest(F.lit(0), i - 1 - short)
+    return start.cast("int"), (size + (i > short).cast("int")).cast("int")
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substr(line, start + 1, size))
-
-
-def keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """Index keys (own) and probe keys of a line of n code points, as array<struct<key, own>>."""
+def parts(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """What a line indexes or probes, as (how much shorter the other line is, number of the segment, shift of its start)."""
     out = []
     for shorter in range(edits + 1):
-        length = n - shorter  # of the line that is probed for
         for i in range(1, edits + 2):
-            start, size = _segment(length, i, edits)
             before, after = i - 1, edits + 1 - i
-            for shift in range(max(-before, shorter - after), min(before, shorter + after) + 1):
-                key = _key(line, length.cast("int"), i, start + shift, size)
-                inside = (start + shift >= 0) & (start + shift + size <= n)
-                own = shorter == 0 and shift == 0
-                out.append(F.when(inside, F.struct(key.alias("key"), F.lit(own).alias("own"))))
-    return F.filter(F.array(*out), lambda k: k.isNotNull())
+            out += [(shorter, i, d) for d in range(max(-before, shorter - after), min(before, shorter + after) + 1)]
+    return out
+
+
+def keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Keys of lines (h, line, n) as (h, key, own): own if the line is indexed by it, not only probed for.
+
+    The parts are exploded as a constant, so that the compiled code holds one small expression for all of them.
+    """
+    table = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("shorter", "i", "d"), p, strict=True)]) for p in parts(edits)])
+    each = lines.select("h", "line", "n", F.explode(table).alias("p"))
+    length, i = F.col("n") - F.col("p.shorter"), F.col("p.i")
+    start, size = _segment(length, i, edits)
+    start = start + F.col("p.d")
+    key = F.xxhash64(length, i, F.substr(F.col("line"), start + 1, size)).alias("key")
+    own = (F.col("p.shorter") == 0) & (F.col("p.d") == 0)
+    return each.where((start >= 0) & (start + size <= F.col("n"))).select("h", key, own.alias("own"))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -132,10 +138,10 @@ def letter_parities(line: Column) -> Column:
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """Links (a, b) among distinct lines (h long, line string) of LEAST code points or more."""
     sized = lines.select("h", "line", F.length("line").alias("n")).where(F.col("n") >= LEAST)
-    keyed = sized.select("h", F.explode(keys(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "k.key", "k.own")
     by_key = Window.partitionBy("key")
     met = (
-        keyed.withColumn("n", F.count("*").over(by_key))
+        keyed(sized, edits)
+        .withColumn("n", F.count("*").over(by_key))
         .withColumn("owned", F.max("own").over(by_key))
         .where("n > 1 and owned")
         .select("key", "h", "own")
