@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Bits of the map that :func:`sifted` broadcasts, at most: 2**20 words of 64.
+SIFT_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +66,25 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose hashed key (a long) is in ``keys``, and some others: for use before an exact join.
+
+    The keys set the bits of a map of at most SIFT_BITS, which is broadcast as words of 64. Rows
+    whose bit is unset go before they are shuffled. Beyond as many keys as bits the map would let nearly
+    every row through, so rows are passed on as they are.
+    """
+    n = keys.count()
+    if n > SIFT_BITS:
+        return rows
+    bits = min(SIFT_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+    slot = lambda c: F.pmod(F.col(c), F.lit(bits))
+    word = lambda c: F.shiftright(slot(c), 6).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (slot(c) % 64).cast("int"))
+    table = keys.select(word(key).alias("_word"), bit(key).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_word", word(key)).join(F.broadcast(table), "_word")  # bounded: SIFT_BITS / 64 rows
+    return marked.where(F.col("_bits").bitwiseAND(bit(key)) != 0).drop("_word", "_bits")
+
+
 def attach(rows: DataFrame, lookup: DataFrame, key: str, salt_by: str) -> DataFrame:
     """Left-join ``lookup`` (unique by ``key``) to ``rows``, whose keys may be hot.
 

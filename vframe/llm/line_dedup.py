@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vframe.llm.common import attach, components, discard, width, written
+from vframe.llm.common import attach, components, discard, sifted, width, written
 
 EDITS = 2
 #: Code points from which on a line may differ from its like; shorter ones link only when equal.
@@ -147,8 +147,10 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         .select("key", "h", "own")
     )
     met = written(met.distinct())
-    sized = lines.select("h", "line").join(met.select("h").distinct(), "h", "left_semi")
-    some = written(sized.withColumn("letters", letter_parities(F.col("line"))))
+    ids = written(met.select("h").distinct())
+    # Not a semi-join, which the optimiser would move ahead of the sifting.
+    likely = sifted(lines.select("h", "line"), ids, "h").join(ids, "h")
+    some = written(likely.withColumn("letters", letter_parities(F.col("line"))))
     marked = met.join(some.select("h", "letters"), "h")
     index = marked.where("own").select("key", F.col("h").alias("a"), F.col("letters").alias("letters_a"))
     alike = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a"))) <= 2 * edits
@@ -163,7 +165,7 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     middles = written(trimmed(full, "line_a", "line_b").repartition(width(lines.sparkSession), "a", "b"))
     likely = middles.where(plausible(F.col("line_a"), F.col("line_b"), edits))
     out = written(verified(likely, "line_a", "line_b", edits).select("a", "b").distinct())
-    for done in (met, some, middles):
+    for done in (met, ids, some, middles):
         discard(done)
     return out
 
@@ -188,14 +190,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(distinct)
     groups = components(links).select(F.col("node").alias("h"), F.col("component").alias("class"))
     discard(links)
-    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    classed = first.join(groups, "h", "left").withColumn("class", F.coalesce("class", "h"))
-    # Only classes of several lines need a second minimum; they have a row in ``groups``.
-    best = classed.join(groups.select("h"), "h", "left_semi").groupBy("class").agg(F.min(F.struct("first", "h")).alias("best"))
+    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+    # A line that occurs once and links with none is never dropped, so it needs no lookup.
+    classed = written(first.join(groups, "h", "left").where((F.col("n") > 1) | F.col("class").isNotNull()))
+    best = classed.where("class is not null").groupBy("class").agg(F.min(F.struct("first", "h")).alias("best"))
     lookup = classed.join(best, "class", "left").select(
         "h", F.coalesce("best.first", "first").alias("first"), (F.coalesce("best.h", "h") != F.col("h")).alias("near")
     )
-    dropped = attach(places, lookup, "h", "doc_id").where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
+    found = attach(sifted(places, classed.select("h"), "h"), lookup, "h", "doc_id").where("first is not null")
+    dropped = found.where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
     listed = dropped.groupBy("doc_id").agg(
         F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set(F.when(F.col("near"), F.col("place")))).alias("near")
     )
