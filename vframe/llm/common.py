@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back.
 
     Unlike an eager checkpoint this runs the last stage once, and the
@@ -47,7 +47,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,7 +76,7 @@ def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     n = keys.count()
     if n > SIFT_BITS:
         return rows
-    bits = min(SIFT_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+    bits = min(SIFT_BITS, max(1 << 12, 1 << (64 * n).bit_length()))
     slot = lambda c: F.pmod(F.col(c), F.lit(bits))
     word = lambda c: F.shiftright(slot(c), 6).cast("int")
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (slot(c) % 64).cast("int"))

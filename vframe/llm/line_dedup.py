@@ -185,8 +185,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(text, "\n", -1).alias("lines"))
     each = source.select("doc_id", F.posexplode("lines").alias("place", "line")).where("trim(line) <> ''")
     places = each.select("doc_id", "place", F.xxhash64("line").alias("h"))
-    distinct = written(each.select("line").distinct().select(F.xxhash64("line").alias("h"), "line"))
-    links = near_lines(distinct, edits)
+    distinct = written(each.where(F.length("line") >= LEAST).select("line").distinct(), "zstd")
+    links = near_lines(distinct.select(F.xxhash64("line").alias("h"), "line"), edits)
     discard(distinct)
     groups = components(links).select(F.col("node").alias("h"), F.col("component").alias("class"))
     discard(links)
