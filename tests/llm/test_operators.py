@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 
 from vframe.llm import chat_format, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, pii, simhash_dedup, toxicity
+from vframe.llm import common
 from vframe.llm.queries import TOKENIZER
 
 WORDS = "the cat sat on a mat while rain fell over hills and rivers near old stone walls of town".split()
@@ -224,6 +225,17 @@ def edits(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("most", [1 << 26, 1 << 12, 10])
+def test_sifting_loses_no_key(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "SIFT_BITS", most)
+    rows = spark.range(4000).selectExpr("xxhash64(id) AS h", "id")
+    keys = rows.where("id % 50 = 0").select("h")
+    passed = {r["id"] for r in common.sifted(rows, keys, "h").select("id").collect()}
+    assert passed >= set(range(0, 4000, 50))
+    assert len(passed) < 400 or most == 10
+    assert common.sifted(rows, keys.limit(0), "h").count() == 0
+
+
 def test_near_lines(spark):
     rnd = random.Random(5)
     base = ["".join(rnd.choice("abé😀 x") for _ in range(rnd.randint(14, 24))) for _ in range(12)]
