@@ -1,5 +1,8 @@
-"""Training-data operators: scoring, de-duplication, packing, mixing, scans and chat formatting.
+"""Operators of a training-data pipeline; nothing else in the library imports this folder."""
 
-Nothing outside this folder imports it; ``__spark_entry__.py`` adds its
-queries when the folder is there.
-"""
+import sys
+
+from pyspark import cloudpickle
+
+# Functions for the executors travel by value, so the package needn't be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
