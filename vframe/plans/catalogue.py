@@ -167,6 +167,16 @@ def _monos() -> None:
 _monos()
 
 
+@query(
+    "fill_zero_bool",
+    "SELECT event_id, coalesce(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value > 100 END, FALSE) AS dear FROM events",
+)
+def fill_zero_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events", "event_id", "value")
+    df = df.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value") > 100).alias("dear"))
+    return df.transform(op_of(fit.fill_missing(df, [{"column": "dear", "action": "zero"}])))
+
+
 @query("comb_ratio_zero", "SELECT l_orderkey, l_tax, l_discount, l_tax / l_discount AS made FROM lineitem")
 def comb_ratio_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem", "l_orderkey", "l_tax", "l_discount")
@@ -587,13 +597,22 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_functions.upsert_latest(events(spark, sf_dir), "user_id", "event_id")
 
 
-@query("memory_merge")
+@query(
+    "memory_merge",
+    f"""WITH said AS (
+        SELECT conv_id, text AS finding, min(CASE WHEN role = 'user' THEN 0 ELSE 1 END) AS part
+        FROM conversations WHERE text IS NOT NULL GROUP BY ALL
+    ), ranked AS (
+        SELECT conv_id, finding, row_number() OVER (PARTITION BY conv_id ORDER BY part, finding) AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM said
+    )
+    SELECT conv_id, CAST(place - greatest(n - {text_functions.FINDINGS_CAP}, 0) AS BIGINT) AS place, finding FROM ranked WHERE place > n - {text_functions.FINDINGS_CAP}""",
+)
 def memory_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
-    old = F.array_sort(F.collect_set(F.when(F.col("turn") < 4, F.substring("text", 1, 8))))
-    new = F.array_sort(F.collect_set(F.when(F.col("turn") >= 2, F.substring("text", 1, 8))))
-    both = rows.groupBy("conv_id").agg(old.alias("old"), new.alias("new"))
-    return both.select("conv_id", text_functions.merged_findings(F.col("old"), F.col("new")).alias("findings"))
+    rows = table(spark, sf_dir, "conversations", "conv_id", "role", "text")
+    old = F.array_sort(F.collect_set(F.when(F.col("role") == "user", F.col("text"))))
+    both = rows.groupBy("conv_id").agg(old.alias("old"), F.array_sort(F.collect_set("text")).alias("new"))
+    each = both.select("conv_id", F.posexplode(text_functions.merged_findings(F.col("old"), F.col("new"))).alias("place", "finding"))
+    return each.select("conv_id", (F.col("place") + 1).cast("long").alias("place"), "finding")
 
 
 @query(
