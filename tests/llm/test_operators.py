@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from vframe.llm import chat_format, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, pii, simhash_dedup, toxicity
@@ -275,6 +276,25 @@ def test_embeddings(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(900, 905)) and len(out) == 245
 
 
+@pytest.mark.parametrize(("groups", "size", "loose"), [(7, 100, 0), (3, 200, 168)])
+def test_embeddings_in_large_groups(spark, groups, size, loose):
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(groups, 64)), size, 0) + 0.08 * rng.normal(size=(groups * size, 64))
+    x = np.concatenate([x, rng.normal(size=(loose, 64))]).astype(np.float32).astype(float)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    out = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum() - len(x)
+    assert links > groups * size and 0.95 * links <= sum(r["n_links"] for r in out) <= links
+
+
+def test_bridges_join_all_components():
+    rng = np.random.default_rng(2)
+    x = embedding_dedup._unit(pa.array(np.repeat(rng.normal(size=(9, 32)), 90, 0).tolist()) ) + 0.01 * rng.normal(size=(810, 32))
+    near = embedding_dedup._pruned((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
+    assert set(plain_components(810, [(i, int(j)) for i, some in enumerate(near) for j in some])) == {0}
+
+
 def test_toxicity_learns_and_restores(spark):
     rnd = random.Random(8)
     rows, labels = [], []

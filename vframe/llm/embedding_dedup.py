@@ -3,10 +3,12 @@
 Vectors are dealt to overlapping shards: each goes to its OVERLAP nearest of its label's
 centroids. Each shard builds a flat proximity graph by robust pruning: a vector takes its
 nearest candidate and drops the others that are ALPHA times closer to it than to
-the vector. A vector's adjacency lists of all its shards are united. Then each shard
-searches the united graph for each of its vectors: greedily from the shard's medoid with a beam, and
-once vectors in range turn up, onward through all vectors near the range. Links are verified
-in double precision. An audit compares a bounded sample of vectors with all rows.
+the vector. Components of the graph are joined by their nearest pairs. A vector's adjacency lists of
+all its shards are united. Then each shard searches the united graph for each of its vectors: greedily
+from the vector itself and the shard's medoid with a beam, and once vectors in range turn up, onward
+through all vectors near the range. A shard whose search misses too much of a sample is compared in
+exact blocks instead. Links are verified in double precision. An audit compares a bounded sample of
+vectors with all rows.
 
 Equal vectors are one node with a count, so copies of any number cost one node. Pairs don't leave
 their shard: it returns link counts and a spanning forest of the links. A pair that
@@ -36,6 +38,8 @@ CANDIDATES, DEGREE, ALPHA, BEAM = 64, 32, 1.2, 32
 SLACK = 0.06
 #: Vectors that the audit compares with all rows, at most.
 AUDIT = 256
+#: Vectors of a shard whose search is compared with the whole shard, and the mean recall below which exact blocks replace it.
+PROBES, LEAST_RECALL = 64, 0.9
 
 MEMBER = "shard string, shards array<string>, id long, n long, vec array<float>"
 
@@ -76,6 +80,37 @@ def fit_centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
+def _bridges(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Edges that join the components of a graph: in each round every component takes its nearest outsider."""
+    m, out = len(x), [np.zeros((0, 2), np.int64)]
+    root = list(range(m))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    fresh = edges
+    while True:
+        for a, b in fresh.tolist():
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+        group = np.array([top(i) for i in range(m)])
+        if not group.any():
+            return np.concatenate(out)
+        best, mate = np.empty(m, x.dtype), np.empty(m, np.int64)
+        for at in range(0, m, 256):
+            sims = x[at : at + 256] @ x.T
+            sims[group[at : at + 256, None] == group] = -2
+            mate[at : at + 256] = sims.argmax(1)
+            best[at : at + 256] = sims.max(1)
+        order = np.lexsort((-best, group))
+        first = order[np.unique(group[order], return_index=True)[1]]
+        fresh = np.stack([first, mate[first]], 1)
+        out.append(fresh)
+
+
 def _pruned(x: np.ndarray) -> list[np.ndarray]:
     """The robust-pruned graph of a shard, both directions of each edge."""
     m = len(x)
@@ -102,17 +137,17 @@ def _pruned(x: np.ndarray) -> list[np.ndarray]:
             edges.append(np.stack([rows[some], near[each, first][some]], 1))
             alive &= ALPHA * mutual[each, first] > far
             alive[each, first] = False
-    both = np.concatenate(edges)
+    both = np.concatenate([*edges, _bridges(x, np.concatenate(edges))])
     both = np.unique(np.concatenate([both, both[:, ::-1]]), axis=0)
     return np.split(both[:, 1], np.searchsorted(both[:, 0], np.arange(1, m)))
 
 
 def _in_range(x: np.ndarray, adjacency: list[np.ndarray], start: int, q: int, cosine: float) -> list[int]:
-    """Range-expanding greedy search for the rows within ``cosine`` of row q."""
+    """Range-expanding greedy search, from rows q and ``start``, for the rows within ``cosine`` of row q."""
     query = x[q]
-    near = {start: float(x[start] @ query)}
-    todo = [(-near[start], start)]
-    best = [near[start]]  # a heap of the beam's similarities
+    near = {v: float(x[v] @ query) for v in (q, start)}
+    todo = sorted((-s, v) for v, s in near.items())
+    best = sorted(near.values())  # a heap of the beam's similarities
     while todo:
         sim, node = heapq.heappop(todo)
         if len(best) >= BEAM and -sim < best[0] and -sim < cosine - SLACK:
@@ -152,8 +187,14 @@ def _search(members: pa.Table, cosine: float) -> pa.Table:
         united.append(at[ids[at] == np.array(near)] if len(near) else np.zeros(0, np.int64))
     medoid = int((x @ x.mean(0)).argmax())
     found: set[tuple[int, int]] = set()
+    hits = lambda q: _in_range(x, united, medoid, q, cosine)
+    probes = np.unique(np.linspace(0, len(ids) - 1, PROBES).astype(int))
+    true = [set(np.flatnonzero(x @ x[q] >= cosine).tolist()) - {q} for q in probes]
+    shares = [len(t.intersection(hits(q))) / len(t) for q, t in zip(probes, true, strict=True) if t]
+    if shares and np.mean(shares) < LEAST_RECALL:
+        hits = lambda q: np.flatnonzero(x @ x[q] >= cosine - 1e-5).tolist()
     for q in range(len(ids)):
-        found.update((min(q, v), max(q, v)) for v in _in_range(x, united, medoid, q, cosine))
+        found.update((min(q, v), max(q, v)) for v in hits(q) if v != q)
     counts, root = np.zeros(len(ids), np.int64), list(range(len(ids)))
 
     def top(i: int) -> int:
