@@ -30,13 +30,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, sources interleaved to equal weights."""
+    """All documents, sources interleaved to equal weights; the packing stage restores this order."""
     return mixing.in_mixed_order(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    return packing.pack(docs, *TOKENIZER)
+    """The pieces of the packed sequences, which follow the mix.
+
+    Spark deals the files of the stage before to tasks by size, so the mix is worked out again here:
+    it follows from the identifiers and sources alone.
+    """
+    return packing.pack(mixing.in_mixed_order(docs.select("doc_id", "source", "text")), *TOKENIZER)
 
 
 STAGES = [

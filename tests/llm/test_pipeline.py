@@ -5,8 +5,8 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from vframe.llm import simhash_dedup, toxicity
-from vframe.llm.common import table
+from vframe.llm import mixing, simhash_dedup, toxicity
+from vframe.llm.common import table, written
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,5 +35,23 @@ def test_pipeline(spark):
     assert pieces.groupby("sequence_id").length.sum().max() <= 1024
 
 
+def test_sequences_follow_the_mix_over_several_files(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, "word " * (1 + i % 97 * (1 + i % 3)), "hot" if i % 4 else "b") for i in range(1500)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7, "doc_id")
+        docs = written(corpus_pipeline.mixing_stage(spark, docs, DATA).repartition(5, "doc_id"))
+        place = {r["doc_id"]: (r["_slot"], r["_place"]) for r in mixing.mix(docs).collect()}
+        pieces = corpus_pipeline.packing_stage(spark, docs, DATA).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_task = {}
+    for r in pieces:
+        by_task.setdefault(r["sequence_id"] >> 33, []).append(place[r["doc_id"]])
+    spans = [(min(x), max(x)) for _, x in sorted(by_task.items())]
+    assert len(spans) > 1 and {r["doc_id"] for r in pieces} == set(place)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_stages():
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
