@@ -308,3 +308,20 @@ def test_toxicity_learns_and_restores(spark):
     out = {r["doc_id"]: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert all(out[i]["predicted"] == y for i, y in labels)
     assert [out[i]["predicted"] for i in range(1001, 1006)] == [1, 1, 1, 0, 0]
+
+
+def test_toxicity_sees_through_the_gates(spark):
+    rnd = random.Random(8)
+    bad, rows, labels = ["grumbold", "zass", "fliddet"], [], []
+    for i in range(900):
+        words = [rnd.choice(WORDS) + rnd.choice(["", "s", "ing"]) for _ in range(30)]
+        if i % 5 == 0:
+            words.insert(3, bad[i // 5 % 3])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    hidden = ["what a g r u m b o l d", "f l i d d e t g r u m b o l d", "the za$$ sat", "ggrruummbboolldd", "fflliiddddeett", "the g r u m b o l d a cat"]
+    clean = ["the cat sat on a wall", "over hills 1994 and 2,500 rivers!", "a b c d e f", "ffaallll over hills"]
+    rows += [(1000 + i, x) for i, x in enumerate(hidden + clean)]
+    out = {r["doc_id"]: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(out[i]["predicted"] == y for i, y in labels)
+    assert [out[1000 + i]["predicted"] for i in range(len(hidden + clean))] == [1] * len(hidden) + [0] * len(clean)

@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +50,8 @@ SIGN_COST, GAP_COST, REPEAT_COST, KEEP_COST = -1.0, -0.5, -0.7, -9.0
 
 #: Words whose readings, weights or counts a task remembers; beyond it the memory starts anew.
 REMEMBERED = 50_000
+#: Lengths of the lexicon's words that are looked for inside a spaced run.
+SHORTEST, LONGEST = 3, 24
 
 ALPHABET = 28  # 0: outside a word, 1 to 26: a to z, 27: any other byte of a word
 _CLASS = np.full(256, 27, np.uint8)
@@ -60,8 +62,8 @@ _CLASS[65:91] = np.arange(1, 27)
 _SIGNS = re.escape("".join(LOOKALIKE))
 #: Letters apart: four or more single signs between separators.
 SPACED = re.compile(rf"(?<!\S)[^\W_](?:[ \t.\-_*~']{{1,3}}[a-z{_SIGNS}]){{3,}}(?!\S)")
-#: In a word: a letter beside a sign, a letter inside separators, or one letter three times.
-ODD = re.compile(rf"[a-z][{_SIGNS}*.\-_~']+[a-z]|[{_SIGNS}][a-z]{{2,}}|[a-z]{{2,}}[{_SIGNS}]|([a-z])\1\1")
+#: In a word that isn't a plain number: a sign, letters parted by separators, or a doubled letter.
+ODD = re.compile(rf"(?![\d.,:+\-()]+$)(?:.*[{_SIGNS}]|.*[a-z][*.\-_~']+[a-z]|.*([a-z])\1)", re.S)
 _RUN = re.compile(r"(.)\1*", re.S)
 
 
@@ -84,13 +86,16 @@ class CharModel:
         return cls(np.log(p3))
 
 
-def _arcs(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice of a token: for each run of one sign, the strings it may stand for with log costs."""
+def _arcs(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    """The lattice of a token: for each run of one sign, the strings it may stand for with log costs.
+
+    In a spaced run a separator may also part words.
+    """
     steps = []
     for match in _RUN.finditer(token):
         sign, n = match[1], len(match[0])
         if sign in SEPARATORS:
-            steps.append([("", GAP_COST), (match[0], KEEP_COST)])
+            steps.append([("", GAP_COST), (" ", GAP_COST)] if spaced else [("", GAP_COST), (match[0], KEEP_COST)])
             continue
         letters = [(x, 0.0) for x in sign if x.isalpha()] or [(x, SIGN_COST) for x in LOOKALIKE.get(sign, "")]
         if not letters:
@@ -107,11 +112,11 @@ def _class_of(letter: str) -> int:
     return ord(letter) - 96 if "a" <= letter <= "z" else 27 if letter.isalpha() else 0
 
 
-def decode(token: str, model: CharModel) -> str:
+def decode(token: str, model: CharModel, spaced: bool = False) -> str:
     """The likeliest plain reading of a token: Viterbi over its lattice, a state per last two classes."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     table = model.table
-    for arcs in _arcs(token):
+    for arcs in _arcs(token, spaced):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (cost, said) in states.items():
             for letters, price in arcs:
@@ -128,8 +133,8 @@ def decode(token: str, model: CharModel) -> str:
 
 def restore(text: str, model: CharModel) -> str:
     """A lower-cased text with its suspicious spans decoded."""
-    text = SPACED.sub(lambda m: decode(m[0], model), text)
-    return " ".join(decode(w, model) if ODD.search(w) else w for w in text.split())
+    text = SPACED.sub(lambda m: decode(m[0], model, spaced=True), text)
+    return " ".join(decode(w, model) if ODD.match(w) else w for w in text.split())
 
 
 def stripped(word: str) -> str:
@@ -142,16 +147,32 @@ def parts(word: str) -> list[str]:
     return [f"{word[:k]}*" for k in sizes] + [f"*{word[-k:]}" for k in sizes]
 
 
-def _words(text: str | None, model: CharModel, readings: dict[str, str]) -> set[str]:
-    """The distinct words of a text as written and as restored."""
+def _words(text: str | None, model: CharModel, readings: dict[str, str], lexicon: Mapping[str, float] | None = None) -> set[str]:
+    """The distinct words of a text as written and as restored.
+
+    A spaced run gives its letters as one word and the words that its likeliest reading parts; with a
+    ``lexicon`` also every word of it among those letters, as the likeliest parting may miss it.
+    """
     text = (text or "").lower()
-    spaced = [decode(m[0], model) for m in SPACED.finditer(text)]
+    spaced: set[str] = set()
+    for match in SPACED.finditer(text):
+        run = match[0]
+        parted = decode(run, model, spaced=True)
+        for whole in {decode(run, model), parted.replace(" ", "")}:
+            spaced.add(whole)
+            if lexicon:
+                stretches = (whole[i : i + n] for i in range(len(whole) - SHORTEST + 1) for n in range(SHORTEST, min(LONGEST, len(whole) - i) + 1))
+                spaced.update(w for w in stretches if w in lexicon)
+        spaced.update(parted.split())
     words = set(text.split())
     if len(readings) > REMEMBERED:
         readings.clear()
     for word in [w for w in words if w not in readings]:
-        readings[word] = decode(word, model) if ODD.search(word) else word
-    return words.union(spaced, map(readings.__getitem__, words))
+        readings[word] = decode(word, model) if ODD.match(word) else word
+    restored = set(map(readings.__getitem__, words))
+    if lexicon:  # doubled throughout, a word may keep a pair that the lexicon holds single
+        restored.update(w for w in (_RUN.sub(r"\1", x) for x in restored - words) if w in lexicon)
+    return words.union(spaced, restored)
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +301,7 @@ def toxicity(
                 clean = 0.0  # log of the chance that no word makes the text toxic
                 if len(weights) > REMEMBERED:
                     weights.clear()
-                for word in _words(texts[i].as_py(), model, readings):
+                for word in _words(texts[i].as_py(), model, readings, lexicon):
                     weight = weights.get(word)
                     if weight is None:
                         plain = stripped(word)
