@@ -6,9 +6,11 @@ executor costs a recomputation and never a result.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,36 +31,97 @@ def ascii_lower(column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one only where it is unset and all runs on one machine, as in tests."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="vframe-"))
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Folders written by this process and not yet deleted, in order.
+_folders: dict[str, None] = {}
+
+
 def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back.
 
     Unlike an eager checkpoint this runs the last stage once, and the
-    files outlive the executors that wrote them.
+    files outlive the executors that wrote them. What no one discards goes when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vframe-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_leave)
+    _folders[path] = None
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`written`; it must not be read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if folder.getName().startswith("vframe-"):
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def _delete(path: str) -> None:
+    context = SparkContext._active_spark_context
+    if context is not None and context._jvm is not None:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        _folders.pop(path, None)
+
+
+def _leave() -> None:
+    for path in list(_folders):
+        _delete(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind frames made by :func:`written`; they must not be read again."""
+    for df in frames:
+        names = {name.rpartition("/")[0].rpartition("/")[2] for name in df.inputFiles()}
+        for path in [p for p in _folders if p.rpartition("/")[2] in names]:
+            _delete(path)
+
+
+def mark() -> set[str]:
+    """What is written so far, for :func:`sweep`."""
+    return set(_folders)
+
+
+def sweep(since: set[str], *needed: DataFrame) -> None:
+    """Delete what was written since a :func:`mark` but for the files that the frames ``needed`` read."""
+    names = {name.rpartition("/")[0].rpartition("/")[2] for df in needed for name in df.inputFiles()}
+    for path in [p for p in _folders if p not in since and p.rpartition("/")[2] not in names]:
+        _delete(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def addressed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with an address for each row, and the address column's name, which was free.
+
+    The address is the row's place in a Parquet file, so that it is the same at every reading, whichever
+    executors are left. A frame that isn't itself a table of such files is written first.
+    """
+    name = fresh(docs, "_row")
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "parquet" not in plan.relation().toString().lower():
+        docs = written(docs)
+    place = docs.metadataColumn("_metadata")
+    return docs.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(name)), name
+
+
+def running(numbers: Column) -> Column:
+    """The sums of the first 0, 1, 2 and so on elements of an array, by doubling steps: n log n, where appending would be n squared."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers) + 1)).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    start = F.concat(F.array(F.lit(0)), numbers)
+    return F.aggregate(steps, start, lambda a, k: F.transform(a, lambda x, i: x + F.when(i >= k, F.get(a, i - k)).otherwise(F.lit(0))))
 
 
 def width(spark: SparkSession) -> int:
@@ -85,30 +148,30 @@ def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return marked.where(F.col("_bits").bitwiseAND(bit(key)) != 0).drop("_word", "_bits")
 
 
-def attach(rows: DataFrame, lookup: DataFrame, key: str, salt_by: str) -> DataFrame:
-    """Left-join ``lookup`` (unique by ``key``) to ``rows``, whose keys may be hot.
+def attach(rows: DataFrame, lookup: DataFrame, keys: str | list[str], salt_by: str | Column) -> DataFrame:
+    """Left-join ``lookup`` (unique by ``keys``) to ``rows``, whose keys may be hot.
 
     The rows of a key are split over as many salts as there are shuffle
     partitions. One row for each (key, salt) meets the lookup, and the rows then
-    join that on both columns, so no task gets more than its share of a key.
+    join that on both, so no task gets more than its share of a key.
     """
-    parts = max(64, width(rows.sparkSession))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_by), F.lit(17)), F.lit(parts)).cast("int"))
-    met = salted.select(key, "_salt").distinct().join(lookup, key, "left")
-    return salted.join(met, [key, "_salt"], "left").drop("_salt")
+    keys, parts = [keys] if isinstance(keys, str) else keys, max(64, width(rows.sparkSession))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(17), salt_by), F.lit(parts)).cast("int"))
+    met = salted.select(*keys, "_salt").distinct().join(lookup, keys, "left")
+    return salted.join(met, [*keys, "_salt"], "left").drop("_salt")
 
 
-def keep_only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (null matches null); columns stay as they are."""
-    wanted = ids.select(F.col(id_col).alias("_wanted")).hint("shuffle_hash")
-    return docs.join(wanted, docs[id_col].eqNullSafe(wanted["_wanted"]), "left_semi")
+def keep_rows(docs: DataFrame, name: str, kept: DataFrame) -> DataFrame:
+    """The rows of addressed ``docs`` whose address is in column ``row`` of ``kept``, without the address; addresses are unique, so none is hot."""
+    wanted = kept.select(F.col("row").alias(fresh(docs, "_wanted"))).hint("shuffle_hash")
+    return docs.join(wanted, docs[name] == wanted[wanted.columns[0]], "left_semi").drop(name)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) as (node, component = smallest node).
 
-    Alternating large-star and small-star rounds; each groups by a
-    node with map-side minima, so a hub costs no task more than its share, and each
+    Alternating large-star and small-star rounds; each groups by a node with map-side minima and gives
+    each edge its node's minimum by a salted join, so a hub costs no task more than its share. Each
     round's edges go to the shared folder. Nodes without an edge are not returned.
     """
     edges = written(
@@ -116,27 +179,27 @@ def components(edges: DataFrame) -> DataFrame:
         .where("u <> v")
         .distinct()
     )
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(edges)
+    sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = sums(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
-            both.join(least, "u")
+            attach(both, least, "u", "v")
             .where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
-        fresh = written(
+        small = attach(large, least, "u", "v").select("u", "v", "m")
+        after_round = written(
             small.select("u", F.col("m").alias("v"))
             .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        after = mark(fresh)
+        after = sums(after_round)
         discard(edges)
-        edges = fresh
+        edges = after_round
         if after == before:
             break
         before = after
