@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vframe.llm.common import discard, keep_only, written
+from vframe.llm.common import discard, written
 
 #: Labelled rows that the lexicon is fitted on, at most; a documented bound. The sample is uniform, so that it
 #: keeps the share of toxic rows, which the bounds below are about.
@@ -50,6 +50,8 @@ SIGN_COST, GAP_COST, REPEAT_COST, KEEP_COST = -1.0, -0.5, -0.7, -9.0
 
 #: Words whose readings, weights or counts a task remembers; beyond it the memory starts anew.
 REMEMBERED = 50_000
+#: Steps of a lattice after which settled readings are said.
+SETTLE = 1024
 #: Lengths of the lexicon's words that are looked for inside a spaced run.
 SHORTEST, LONGEST = 3, 24
 
@@ -86,55 +88,120 @@ class CharModel:
         return cls(np.log(p3))
 
 
-def _arcs(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+def _arcs(token: str, spaced: bool = False) -> Iterator[list[tuple[str, float]]]:
     """The lattice of a token: for each run of one sign, the strings it may stand for with log costs.
 
     In a spaced run a separator may also part words.
     """
-    steps = []
     for match in _RUN.finditer(token):
         sign, n = match[1], len(match[0])
         if sign in SEPARATORS:
-            steps.append([("", GAP_COST), (" ", GAP_COST)] if spaced else [("", GAP_COST), (match[0], KEEP_COST)])
+            yield [("", GAP_COST), (" ", GAP_COST)] if spaced else [("", GAP_COST), (match[0], KEEP_COST)]
             continue
         letters = [(x, 0.0) for x in sign if x.isalpha()] or [(x, SIGN_COST) for x in LOOKALIKE.get(sign, "")]
         if not letters:
-            steps.append([("", GAP_COST + KEEP_COST), (match[0], KEEP_COST)])
+            yield [("", GAP_COST + KEEP_COST), (match[0], KEEP_COST)]
             continue
         arcs = [(x, cost + (REPEAT_COST if n > 1 else 0)) for x, cost in letters]
         if n > 1:
             arcs += [(2 * x, 2 * cost + (REPEAT_COST if n > 2 else 0)) for x, cost in letters]
-        steps.append(arcs)
-    return steps
+        yield arcs
 
 
 def _class_of(letter: str) -> int:
     return ord(letter) - 96 if "a" <= letter <= "z" else 27 if letter.isalpha() else 0
 
 
+State = tuple[int, int]  # the classes of the last two letters
+Trail = list[dict[State, tuple[State, str]]]  # for each step: where a state came from and what was said
+
+
+def _said(trail: Trail, state: State) -> str:
+    out = []
+    for came in reversed(trail):
+        state, letters = came[state]
+        out.append(letters)
+    return "".join(reversed(out))
+
+
 def decode(token: str, model: CharModel, spaced: bool = False) -> str:
-    """The likeliest plain reading of a token: Viterbi over its lattice, a state per last two classes."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest plain reading of a token: Viterbi over its lattice, a state per last two classes.
+
+    Each state points back to the one it came from. After each SETTLE steps, what all paths that are left have in common is said and
+    forgotten, so a token of any length takes time in proportion.
+    """
+    costs: dict[State, float] = {(0, 0): 0.0}
+    trail: Trail = []
+    out: list[str] = []
     table = model.table
     for arcs in _arcs(token, spaced):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, said) in states.items():
+        after: dict[State, float] = {}
+        came: dict[State, tuple[State, str]] = {}
+        for (a, b), cost in costs.items():
             for letters, price in arcs:
                 x, y, total = a, b, cost + price
                 for letter in letters:
                     z = _class_of(letter)
                     total += table[x, y, z]
                     x, y = y, z
-                if (x, y) not in after or total > after[x, y][0]:
-                    after[x, y] = (total, said + letters)
-        states = after
-    return max((cost + table[a, b, 0], said) for (a, b), (cost, said) in states.items())[1]
-
+                if (x, y) not in after or total > after[x, y]:
+                    after[x, y], came[x, y] = total, ((a, b), letters)
+        costs = after
+        trail.append(came)
+        if len(trail) % SETTLE == 0:
+            states = set(costs)
+            for at in range(len(trail) - 1, -1, -1):
+                states = {trail[at][s][0] for s in states}
+                if len(states) == 1:
+                    out.append(_said(trail[:at], states.pop()))
+                    trail = trail[at:]
+                    break
+    best = max(costs, key=lambda s: (costs[s] + table[s[0], s[1], 0], s))
+    return "".join([*out, _said(trail, best)])
+
+
+class Restorer:
+    """Restores texts; remembers the readings of a bounded number of words.
+
+    A spaced run becomes the words that its likeliest reading parts. With a ``lexicon``, the words of it that the
+    run's letters hold elsewhere follow them, as the likeliest parting may miss one, and a word
+    doubled throughout may be read single.
+    """
 
-def restore(text: str, model: CharModel) -> str:
-    """A lower-cased text with its suspicious spans decoded."""
-    text = SPACED.sub(lambda m: decode(m[0], model, spaced=True), text)
-    return " ".join(decode(w, model) if ODD.match(w) else w for w in text.split())
+    def __init__(self, model: CharModel, lexicon: Mapping[str, float] | None = None) -> None:
+        self.model, self.lexicon = model, lexicon or {}
+        self.readings: dict[str, str] = {}
+
+    def _spaced(self, run: str) -> list[str]:
+        parted = decode(run, self.model, spaced=True)
+        words = parted.split()
+        for whole in (decode(run, self.model), parted.replace(" ", "")):
+            words.append(whole)
+            if self.lexicon:
+                ends = range(len(whole) - SHORTEST + 1)
+                words += [w for i in ends for n in range(SHORTEST, min(LONGEST, len(whole) - i) + 1) if (w := whole[i : i + n]) in self.lexicon]
+        return list(dict.fromkeys(words))
+
+    def _reading(self, word: str) -> str:
+        said = self.readings.get(word)
+        if said is None:
+            if len(self.readings) > REMEMBERED:
+                self.readings.clear()
+            said = decode(word, self.model) if ODD.match(word) else word
+            if said != word and said not in self.lexicon and (single := _RUN.sub(r"\1", said)) in self.lexicon:
+                said = single
+            self.readings[word] = said
+        return said
+
+    def text(self, text: str | None) -> str:
+        """The restored text, lower-cased, a blank between words."""
+        apart = SPACED.sub(lambda m: " ".join(self._spaced(m[0])), (text or "").lower())
+        return " ".join(map(self._reading, apart.split()))
+
+    def words(self, text: str | None) -> set[str]:
+        """The distinct words of the restored text."""
+        apart = SPACED.sub(lambda m: " ".join(self._spaced(m[0])), (text or "").lower())
+        return set(map(self._reading, set(apart.split())))
 
 
 def stripped(word: str) -> str:
@@ -147,34 +214,6 @@ def parts(word: str) -> list[str]:
     return [f"{word[:k]}*" for k in sizes] + [f"*{word[-k:]}" for k in sizes]
 
 
-def _words(text: str | None, model: CharModel, readings: dict[str, str], lexicon: Mapping[str, float] | None = None) -> set[str]:
-    """The distinct words of a text as written and as restored.
-
-    A spaced run gives its letters as one word and the words that its likeliest reading parts; with a
-    ``lexicon`` also every word of it among those letters, as the likeliest parting may miss it.
-    """
-    text = (text or "").lower()
-    spaced: set[str] = set()
-    for match in SPACED.finditer(text):
-        run = match[0]
-        parted = decode(run, model, spaced=True)
-        for whole in {decode(run, model), parted.replace(" ", "")}:
-            spaced.add(whole)
-            if lexicon:
-                stretches = (whole[i : i + n] for i in range(len(whole) - SHORTEST + 1) for n in range(SHORTEST, min(LONGEST, len(whole) - i) + 1))
-                spaced.update(w for w in stretches if w in lexicon)
-        spaced.update(parted.split())
-    words = set(text.split())
-    if len(readings) > REMEMBERED:
-        readings.clear()
-    for word in [w for w in words if w not in readings]:
-        readings[word] = decode(word, model) if ODD.match(word) else word
-    restored = set(map(readings.__getitem__, words))
-    if lexicon:  # doubled throughout, a word may keep a pair that the lexicon holds single
-        restored.update(w for w in (_RUN.sub(r"\1", x) for x in restored - words) if w in lexicon)
-    return words.union(spaced, restored)
-
-
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(ALPHABET**3, np.int64)
     for batch in batches:
@@ -242,11 +281,11 @@ def fit_lexicon(
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], names=["feature", "toxic", "clean"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readings: dict[str, str] = {}
+        restorer = Restorer(model)
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(*batch.columns, strict=True):
-                seen[toxic.as_py()].update({stripped(w) for w in _words(text.as_py(), model, readings)})
+                seen[toxic.as_py()].update({stripped(w) for w in restorer.words(text.as_py())})
                 if len(seen[0]) + len(seen[1]) > REMEMBERED:
                     yield counted(seen)
                     seen = (Counter(), Counter())
@@ -278,10 +317,37 @@ def fit_lexicon(
     return found
 
 
+class Scorer:
+    """Scores texts: noisy-or over the distinct words of the restored text."""
+
+    def __init__(self, model: CharModel, lexicon: Mapping[str, float]) -> None:
+        self.restorer, self.lexicon = Restorer(model, lexicon), lexicon
+        self.weights: dict[str, float] = {}
+
+    def __call__(self, text: str | None) -> float:
+        clean = 0.0  # log of the chance that no word makes the text toxic
+        if len(self.weights) > REMEMBERED:
+            self.weights.clear()
+        for word in self.restorer.words(text):
+            weight = self.weights.get(word)
+            if weight is None:
+                plain = stripped(word)
+                share = self.lexicon.get(plain) or max((self.lexicon.get(f, 0.0) for f in parts(plain)), default=0.0)
+                weight = self.weights[word] = math.log1p(-share) if share else 0.0
+            clean += weight
+        return 1.0 - math.exp(clean)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[CharModel, dict[str, float]]:
+    """The character model and the lexicon."""
+    model = fit_char_model(docs, text_col)
+    return model, fit_lexicon(docs, labels, model, id_col, text_col)
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """Score every whole text.
+    """Restore and score every whole text.
 
     Returns doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on), one
     row for each input row. Null and empty texts score like a text that has no word of the
@@ -289,35 +355,44 @@ def toxicity(
     and labels of unknown documents, teach nothing; without labels every score is zero. A
     row without an identifier is scored and not held out. Other columns are ignored.
     """
-    model = fit_char_model(docs, text_col)
-    lexicon = fit_lexicon(docs, labels, model, id_col, text_col)
+    model, lexicon = fit(docs, labels, id_col, text_col)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readings: dict[str, str] = {}
-        weights: dict[str, float] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model, lexicon)
         for batch in batches:
-            texts, out = batch.column(1), []
-            for i in range(len(texts)):
-                clean = 0.0  # log of the chance that no word makes the text toxic
-                if len(weights) > REMEMBERED:
-                    weights.clear()
-                for word in _words(texts[i].as_py(), model, readings, lexicon):
-                    weight = weights.get(word)
-                    if weight is None:
-                        plain = stripped(word)
-                        share = lexicon.get(plain) or max((lexicon.get(f, 0.0) for f in parts(plain)), default=0.0)
-                        weight = weights[word] = math.log1p(-share) if share else 0.0
-                    clean += weight
-                out.append(1.0 - math.exp(clean))
+            out = [score(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(score, "doc_id long, score double").select(
+    return source.mapInArrow(run, "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that score as toxic; columns stay as they are."""
-    kept = toxicity(docs, labels, id_col, text_col).where("predicted = 0").select(F.col("doc_id").alias(id_col))
-    return keep_only(docs, kept, id_col)
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score as toxic; columns stay as they are.
+
+    Each row is judged by its own text in one pass, so no join is needed and repeated or null identifiers make no difference.
+    """
+    model, lexicon = fit(docs, labels, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model, lexicon)
+        for batch in batches:
+            yield batch.filter(pa.array([score(text.as_py()) < threshold for text in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def restored_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, restored): what the score reads, for each input row; null and empty texts are empty."""
+    model, lexicon = fit(docs, labels, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model, lexicon)
+        for batch in batches:
+            out = [restorer.text(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "restored"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "doc_id long, restored string")
