@@ -6,11 +6,12 @@ over is routed to the smallest tier that holds it and waits there for a fit. A
 piece that leaves a gap in its window takes the longest waiting pieces
 of its own and shorter tiers that fit (best fit, longest first), cutting the last one
 where nothing fits whole. A window that ends up at exactly a power of two is
-closed at that size without padding. Sequences are dealt to step groups of
-STEP_TOKENS padded tokens, so each step of training costs the same.
+closed at that size without padding. Step groups are balanced: each holds exactly STEP_TOKENS tokens, so each step of
+training costs the same. A tier's windows make groups of their own; what the tiers have left over at the end of a task is dealt
+together, longest first, which fills every group but the task's last, as all sizes are powers of two.
 
 Every task packs the documents it reads, batch by batch, and carries what waits on
-to its next batch: no shuffle, and at most RESERVE pieces held for each tier. At its end
+to its next batch: no shuffle, and at most RESERVE pieces and a step group's windows held for each tier. At its end
 the rest is cut into powers of two, so no sequence holds padding.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 1024
 TIERS = (1024, 512, 256, 128, 64)
-#: Padded tokens of a step group: windows of one tier add up to this.
+#: Tokens of a step group.
 STEP_TOKENS = 16 * WINDOW
 #: Pieces that wait in each tier of a task for a gap; beyond it the tier closes windows of its own size.
 RESERVE = 64
@@ -121,12 +122,47 @@ class Packer:
         self.waiting = {t: [] for t in TIERS}
 
 
+class Steps:
+    """Deals windows, which are powers of two, to step groups; ``emit`` gets each window and the number of its group."""
+
+    def __init__(self, emit: Callable[[object, int], None]) -> None:
+        self.emit, self.groups = emit, 0
+        self.open: dict[int, list[tuple[int, object]]] = {t: [] for t in TIERS}
+        self.size = dict.fromkeys(TIERS, 0)
+
+    def _close(self, windows: list[tuple[int, object]]) -> None:
+        for _, window in windows:
+            self.emit(window, self.groups)
+        self.groups += 1
+
+    def add(self, tier: int, size: int, window: object) -> None:
+        self.open[tier].append((size, window))
+        self.size[tier] += size
+        if size == tier and self.size[tier] == STEP_TOKENS:
+            self._close(self.open[tier])
+            self.open[tier], self.size[tier] = [], 0
+
+    def finish(self) -> None:
+        """Deal what the tiers have left over, longest first: each sum of powers of two meets the bound exactly."""
+        rest = sorted((w for tier in TIERS for w in self.open[tier]), key=lambda w: -w[0])
+        group, total = [], 0
+        for size, window in rest:
+            group.append((size, window))
+            total += size
+            if total == STEP_TOKENS:
+                self._close(group)
+                group, total = [], 0
+        if group:
+            self._close(group)
+        self.open = {t: [] for t in TIERS}
+
+
 class Encoder:
     """Token ids of whole texts, as ``tokenizers`` gives them for the file at ``tokenizer_path``.
 
     Where the same vocabulary is at hand as ranks, ``tiktoken`` computes the same ids at a fraction
     of the cost. Texts that hold the string of a special token still go to ``tokenizers``, which
-    alone knows those.
+    alone knows those; so do texts with such long runs of white space that the pattern's engine gives them up.
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None) -> None:
@@ -144,10 +180,14 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text and END_ID."""
-        if self.fast is None or any(s in text for s in self.special):
+        found = None
+        if self.fast is not None and not any(s in text for s in self.special):
+            try:
+                found = self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # the pattern ran out of stack
+                pass
+        if found is None:
             found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        else:
-            found = self.fast.encode_to_numpy(text, disallowed_special=())
         return np.append(found, np.uint32(END_ID))
 
 
@@ -165,7 +205,8 @@ def pack(
     context size of the sequence) and step_group. A document is its tokens and the
     id END_ID, so null and empty texts are one token. Documents may be cut; every token lies in
     exactly one piece. A row without an identifier is packed under a null
-    one, and a repeated row is packed again. No rows give no rows; other columns are ignored.
+    one, and a repeated row is packed again. Texts of any kind and length are encoded whole, one at a time. No rows give
+    no rows; other columns are ignored.
     Sequence numbers are unique: the task's number times 2**33 and a count.
     """
 
@@ -174,20 +215,22 @@ def pack(
         encoder = Encoder(tokenizer_path, ranks_path, pattern)
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
-        sizes: dict[int, int] = {}  # tokens in whole and part step groups by tier
         state = {"sequence": base}
         tokens: dict[int, int] = {}
 
+        def count(window: list[tuple], group: int) -> None:
+            rows.extend((*piece, base + group) for piece in window)
+
+        steps = Steps(count)
+
         def emit(window: list[Piece], tier: int) -> None:
-            group = sizes.get(tier, 0) // STEP_TOKENS
-            sizes[tier] = sizes.get(tier, 0) + tier
-            step = base + group * len(TIERS) + TIERS.index(tier)
-            offset = 0
+            offset, pieces = 0, []
             for length, arrival, doc, start, ids in window:
                 crc = zlib.crc32(np.ascontiguousarray(ids, "<u4"))
-                rows.append((doc, start, length, crc, tokens[arrival], state["sequence"], offset, tier, step))
+                pieces.append((doc, start, length, crc, tokens[arrival], state["sequence"], offset, tier))
                 offset += length
             state["sequence"] += 1
+            steps.add(tier, offset, pieces)
 
         packer = Packer(emit)
         fields = [(x.split()[0], {"long": pa.int64(), "int": pa.int32()}[x.split()[1]]) for x in PIECES.split(", ")]
@@ -209,6 +252,7 @@ def pack(
                 if len(rows) >= 4096:
                     yield flush()
         packer.finish()
+        steps.finish()
         yield flush()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
