@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vframe.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
-from vframe.llm.common import table, written
+from vframe.llm.common import mark, sweep, table, written
 from vframe.llm.queries import TOKENIZER
 
 
@@ -30,17 +30,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, sources interleaved to equal weights; the packing stage restores this order."""
-    return mixing.in_mixed_order(docs)
+    """All documents, sources interleaved to weights that temper their sizes; the packing stage restores this order."""
+    return mixing.in_mixed_order(docs, mixing.tempered(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, which follow the mix.
 
     Spark deals the files of the stage before to tasks by size, so the mix is worked out again here:
-    it follows from the identifiers and sources alone.
+    it follows from the rows alone.
     """
-    return packing.pack(mixing.in_mixed_order(docs.select("doc_id", "source", "text")), *TOKENIZER)
+    return packing.pack(mixing.in_mixed_order(docs, mixing.tempered(docs)).select("doc_id", "text"), *TOKENIZER)
 
 
 STAGES = [
@@ -59,8 +59,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs)
+            sweep(since, docs)
     return docs

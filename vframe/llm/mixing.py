@@ -16,42 +16,70 @@ tasks. Sources that run out leave their slots empty and the others keep their or
 from __future__ import annotations
 
 import heapq
+import math
+import warnings
 from collections.abc import Mapping
 from fractions import Fraction
-from math import lcm
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Documents of a block.
 BLOCK = 16
-#: Slots of a period at most, and sources at most: bounds of the broadcast schedule.
-PERIOD = 1 << 14
-SOURCES = 4096
+#: Slots of a period at most (a table of a few MB, which is broadcast), and sources at most.
+PERIOD = 1 << 17
+SOURCES = 1 << 15
 #: Hash ranges that the rows of a source are ranked in.
 RANGES = 4096
+#: Parts that :func:`tempered` shares out.
+PARTS = 1000
+#: Columns that :func:`mix` adds.
+ADDED = ("_block", "_release", "_deadline", "_slot", "_place")
 
 
-def whole_parts(weights: Mapping[str, float]) -> dict[str, int]:
-    """Weights as whole parts of a period: exact where the period allows it, else by largest remainder."""
-    shares = {k: Fraction(w).limit_denominator(10_000) for k, w in weights.items() if w > 0}
-    if not shares:
-        raise ValueError("no source has a positive weight")
-    if len(shares) > SOURCES:
+def _exact(weight: float | Fraction) -> Fraction:
+    """A weight as a fraction; a float counts as the decimal number that it prints as."""
+    if not math.isfinite(weight) or weight <= 0:
+        raise ValueError(f"every source needs a positive weight, not {weight}")
+    return Fraction(repr(weight)) if isinstance(weight, float) else Fraction(weight)
+
+
+def whole_parts(weights: Mapping[str | None, float | Fraction]) -> dict[str | None, int]:
+    """Weights as whole parts of a period.
+
+    The parts are exact where the least period is of PERIOD slots or fewer. Else they are rounded to parts of PERIOD by largest remainder,
+    one at least, which a warning tells with the largest change.
+    """
+    if not weights:
+        raise ValueError("there is no source")
+    if len(weights) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
+    shares = {k: _exact(w) for k, w in weights.items()}
     total = sum(shares.values())
     shares = {k: w / total for k, w in shares.items()}
-    period = lcm(*(w.denominator for w in shares.values()))
+    period = math.lcm(*(w.denominator for w in shares.values()))
     if period <= PERIOD:
         return {k: int(w * period) for k, w in shares.items()}
     parts = {k: max(1, int(w * PERIOD)) for k, w in shares.items()}
-    spare = PERIOD - sum(parts.values())
-    order = sorted(shares, key=lambda k: (parts[k] - shares[k] * PERIOD, k))
-    for k in order[: max(0, spare)]:
+    order = sorted(shares, key=lambda k: (parts[k] - shares[k] * PERIOD, str(k)))
+    for k in order[: max(0, PERIOD - sum(parts.values()))]:
         parts[k] += 1
+    made = sum(parts.values())
+    change = max(abs(Fraction(parts[k], made) / shares[k] - 1) for k in shares)
+    warnings.warn(f"weights rounded to parts of {made}; a share changes by {float(change):.2%} at most", stacklevel=2)
     return parts
 
 
+def tempered(docs: DataFrame, exponent: float = 0.5, source_col: str = "source") -> dict[str | None, int]:
+    """A weight for each source: its number of rows to the power ``exponent``, in whole parts of about PARTS, one at least."""
+    rows = docs.groupBy(F.col(source_col).cast("string").alias("source")).count().limit(SOURCES + 1).collect()  # bounded
+    if len(rows) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    total = sum(r["count"] ** exponent for r in rows)
+    return {r["source"]: max(1, round(PARTS * r["count"] ** exponent / total)) for r in rows}
+
+
 def schedule(parts: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     """One period by earliest deadline first: (source, block, release, deadline, slot)."""
     period = sum(parts.values())
@@ -71,63 +99,76 @@ def schedule(parts: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     return out
 
 
+def _comparable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_comparable(f.dataType) for f in kind.fields)
+    return _comparable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _content(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    return F.xxhash64(F.lit(5), *[docs[f"`{f.name.replace('`', '``')}`"] for f in docs.schema.fields if _comparable(f.dataType)])
+
+
 def mix(
     docs: DataFrame,
-    weights: Mapping[str, float] | None = None,
-    default_weight: float = 1.0,
+    weights: Mapping[str | None, float | Fraction] | None = None,
+    default_weight: float | Fraction = 1,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
     """Give every row its place in the mixed order; adds columns to those of ``docs``.
 
     Adds _block (number within the source), _release, _deadline and _slot of the block, and _place
-    within it; (_slot, _place) is unique and sorts the mix. Sources that ``weights``
-    doesn't list have ``default_weight``; a weight of zero is refused, as rows are never dropped. A
-    null source is a source of its own. Rows of a source are dealt in an order by hash of the
-    identifier; rows that repeat an identifier follow each other. No rows give no rows.
+    within it; (_slot, _place) is unique and sorts the mix. Columns of ``docs`` with these names are replaced; no other
+    name clashes. Sources that ``weights`` doesn't list have ``default_weight``; a weight of zero is refused, as rows
+    are never dropped. A null source is a source of its own, listed as None. Rows of a source are dealt in an order by hash of the
+    identifier and the other columns, so that repeated and null identifiers spread too; rows that are equal
+    throughout follow each other. No rows give no rows.
     """
     spark = docs.sparkSession
-    name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    hashed = F.xxhash64(F.col(id_col), F.lit(9))
-    tagged = docs.withColumns({"_source": name, "_hash": hashed, "_range": F.shiftrightunsigned(hashed, 52).cast("int")})
-    counts = tagged.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_source", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-
-    found = [r[0] for r in tagged.select("_source").distinct().limit(SOURCES + 1).collect()]
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    name = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("null"))
+    packed = docs.select(F.struct("*").alias("row"), name.alias("source"), F.xxhash64(F.lit(9), docs[id_col], _content(docs)).alias("hash"))
+    tagged = packed.withColumn("range", F.shiftrightunsigned("hash", 52).cast("int"))
+    counts = tagged.groupBy("source", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+
+    found = [r[0] for r in tagged.select("source").distinct().limit(SOURCES + 1).collect()]  # bounded
     if not found:
-        kinds = ("_block long", "_release long", "_deadline long", "_slot long", "_place int")
-        return docs.select("*", *[F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in kinds])
+        kinds = zip(ADDED, ("long", "long", "long", "long", "int"), strict=True)
+        return docs.select(*[docs[c] for c in kept], *[F.lit(None).cast(k).alias(n) for n, k in kinds])
     given = weights or {}
-    asked = {s: given.get(s[1:] if s[0] == "=" else None, default_weight) for s in found}
-    if min(asked.values()) <= 0:
-        raise ValueError("every source needs a positive weight")
-    parts = whole_parts(asked)
+    parts = whole_parts({s: given.get(s[1:] if s[0] == "=" else None, default_weight) for s in found})
     period = sum(parts.values())
-    slots = spark.createDataFrame(schedule(parts), "_source string, _at long, _r long, _d long, _s long")
-    share = spark.createDataFrame(list(parts.items()), "_source string, _parts long")
+    slots = spark.createDataFrame(schedule(parts), "source string, at long, r long, d long, s long")
+    share = spark.createDataFrame(list(parts.items()), "source string, parts long")
 
-    within = Window.partitionBy("_source", "_range").orderBy("_hash", id_col)
+    within = Window.partitionBy("source", "range").orderBy("hash")
     ranked = (
-        tagged.withColumn("_rank", F.row_number().over(within))
-        .join(starts, ["_source", "_range"])
-        .withColumn("_rank", F.col("_start") + F.col("_rank") - 1)
-        .join(F.broadcast(share), "_source")  # at most SOURCES rows
-        .withColumn("_block", F.floor(F.col("_rank") / BLOCK))
-        .withColumn("_at", F.col("_block") % F.col("_parts"))
-        .withColumn("_cycle", F.floor(F.col("_block") / F.col("_parts")) * F.lit(period))
-        .join(F.broadcast(slots), ["_source", "_at"])  # at most PERIOD + SOURCES rows
+        tagged.withColumn("rank", F.row_number().over(within))
+        .join(starts, ["source", "range"])
+        .withColumn("rank", F.col("start") + F.col("rank") - 1)
+        .join(F.broadcast(share), "source")  # at most SOURCES rows
+        .withColumn("block", F.floor(F.col("rank") / BLOCK))
+        .withColumn("at", F.col("block") % F.col("parts"))
+        .withColumn("cycle", F.floor(F.col("block") / F.col("parts")) * F.lit(period))
+        .join(F.broadcast(slots), ["source", "at"])  # at most PERIOD + SOURCES rows
     )
     return ranked.select(
-        *[ranked[c] for c in docs.columns],
-        "_block",
-        (F.col("_cycle") + F.col("_r")).alias("_release"),
-        (F.col("_cycle") + F.col("_d")).alias("_deadline"),
-        (F.col("_cycle") + F.col("_s")).alias("_slot"),
-        (F.col("_rank") % BLOCK).cast("int").alias("_place"),
+        *[F.col("row")[c].alias(c) for c in kept],
+        F.col("block").alias("_block"),
+        (F.col("cycle") + F.col("r")).alias("_release"),
+        (F.col("cycle") + F.col("d")).alias("_deadline"),
+        (F.col("cycle") + F.col("s")).alias("_slot"),
+        (F.col("rank") % BLOCK).cast("int").alias("_place"),
     )
 
 
-def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` sorted by the mix; columns stay as they are."""
-    return mix(docs, weights, id_col=id_col, source_col=source_col).orderBy("_slot", "_place").select(*docs.columns)
+def in_mixed_order(
+    docs: DataFrame, weights: Mapping[str | None, float | Fraction] | None = None, id_col: str = "doc_id", source_col: str = "source"
+) -> DataFrame:
+    """``docs`` sorted by the mix; columns stay as they are, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), docs[source_col].alias("source"))
+    return mix(rows, weights, id_col="id", source_col="source").orderBy("_slot", "_place").select("row.*")

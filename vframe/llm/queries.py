@@ -58,7 +58,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    mixed = mixing.mix(docs, mixing.tempered(docs))
     names = {"_block": "block", "_release": "release", "_deadline": "deadline", "_slot": "slot", "_place": "place"}
     return mixed.withColumnsRenamed(names)
 
