@@ -7,8 +7,10 @@ executor costs a recomputation and never a result.
 from __future__ import annotations
 
 import atexit
+import operator
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,11 +119,19 @@ def addressed(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(name)), name
 
 
-def running(numbers: Column) -> Column:
-    """The sums of the first 0, 1, 2 and so on elements of an array, by doubling steps: n log n, where appending would be n squared."""
+def running(numbers: Column, join: Callable[[Column, Column], Column] = operator.add) -> Column:
+    """The sums of the first 0, 1, 2 and so on elements of an array, by doubling steps: n log n, where appending would be n squared.
+
+    ``join`` may be another associative function for which zero changes nothing, such as the maximum of positive numbers.
+    """
     steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers) + 1)).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))
     start = F.concat(F.array(F.lit(0)), numbers)
-    return F.aggregate(steps, start, lambda a, k: F.transform(a, lambda x, i: x + F.when(i >= k, F.get(a, i - k)).otherwise(F.lit(0))))
+    return F.aggregate(steps, start, lambda a, k: F.transform(a, lambda x, i: join(x, F.when(i >= k, F.get(a, i - k)).otherwise(F.lit(0)))))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it: lambdas are not searched for common expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def width(spark: SparkSession) -> int:
