@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
-from itertools import combinations
+from fractions import Fraction
+from itertools import combinations, product
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,9 +13,12 @@ import pyarrow as pa
 import pytest
 
 from vframe.llm import chat_format, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, pii, simhash_dedup, toxicity
-from vframe.llm import common
+from vframe.llm import common, queries
+from vframe.llm.common import table
 from vframe.llm.queries import TOKENIZER
 
+DATA = "/root/testdata/sf0.001"
+
 WORDS = "the cat sat on a mat while rain fell over hills and rivers near old stone walls of town".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _salt string, h string, key long"
 
@@ -66,6 +71,28 @@ def test_exact_dedup(docs, texts, keep):
     assert exact_dedup.drop_copies(docs).columns == docs.columns
 
 
+def test_merged_runs_fold(monkeypatch, spark):
+    monkeypatch.setattr(exact_dedup, "RUN", 7)
+    monkeypatch.setattr(exact_dedup, "SLICE", 2)
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, *range(9)]), rnd.choice(["a", "B", "b", "", None, "x" * 500_000])) for _ in range(400)]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(lower(t), []).append(i)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+    for r in exact_dedup.exact_dedup(d).collect():
+        ids = next(x for t, x in groups.items() if hashlib.sha256(t.encode()).hexdigest() == r["text_sha256"])
+        least = min((i for i in ids if i is not None), default=None)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (least, len(ids), r["doc_id"] == least)
+    kept = exact_dedup.drop_copies(d, keep="smallest").collect()
+    assert sorted(lower(r["text"]) for r in kept) == sorted(groups)
+
+
+def test_running(spark):
+    rows = spark.createDataFrame([([3, 4, 5, 1],), ([],), (list(range(100)),)], "n array<int>").select("n", common.running("n").alias("sums"))
+    assert all(r["sums"] == [sum(r["n"][:i]) for i in range(len(r["n"]) + 1)] for r in rows.collect())
+
+
 def test_rows_without_identifier(spark):
     d = spark.createDataFrame([(None, "a"), (1, "a"), (None, "b"), (1, "a")], "doc_id long, text string")
     rows = sorted((r["text_sha256"][:4], str(r["doc_id"]), r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(d).collect())
@@ -100,13 +127,39 @@ def test_simhash_bucket_chunks(spark, monkeypatch):
     rnd = random.Random(1)
     prints = sorted({rnd.getrandbits(6) << rnd.choice([0, 20, 58]) for _ in range(60)})
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    frame = spark.createDataFrame([(p, i) for i, p in enumerate(signed)], "fp long, id long")
-    found = [(r["a"], r["b"]) for r in simhash_dedup.simhash_links(frame).collect()]
+    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    found = [(signed.index(r["a"]), signed.index(r["b"])) for r in simhash_dedup.simhash_links(frame).collect()]
     links = [(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3]
     assert set(map(tuple, map(sorted, found))) <= set(links)
     assert plain_components(len(prints), found) == plain_components(len(prints), links)
 
 
+def test_pivot_distances_bound_the_hamming_distance():
+    rnd = random.Random(6)
+    prints = [rnd.getrandbits(64) for _ in range(200)]
+    prints += [p ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, 5))) for p in prints]
+    fp = np.array(prints, np.uint64)
+    table = np.array([[[((p ^ v) & m).bit_count() for v in simhash_dedup.pivots()] for m in simhash_dedup._masks()] for p in prints], np.int8)
+    for x in range(0, 400, 7):
+        want = [(prints[x] ^ p).bit_count() <= 3 for p in prints]
+        assert simhash_dedup._near(table, fp, x, np.arange(400)).tolist() == want
+
+
+def test_pivot_table_unpacks(spark):
+    prints = [0, 1, -1, 2**62, -(2**63)]
+    rows = simhash_dedup.with_distances(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()
+    table = simhash_dedup._unpacked(np.array([[r[f"block{i}"] for i in range(6)] for r in rows]))
+    assert table.tolist() == [[[((r["fp"] ^ v) % 2**64 & m).bit_count() for v in simhash_dedup.pivots()] for m in simhash_dedup._masks()] for r in rows]
+
+
+def test_rows_without_identifier_link(spark):
+    near = " ".join(WORDS * 30)
+    d = spark.createDataFrame([(None, near), (4, near), (None, "x y z"), (7, near + " end"), (7, near), (7, near)], "doc_id long, text string")
+    rows = simhash_dedup.simhash_dedup(d).collect()
+    assert sorted(str(r["component_id"]) for r in rows) == ["4"] * 5 + ["None"]
+    assert sorted(map(str, simhash_dedup.drop_near_copies(d).collect())) == sorted(map(str, [d.collect()[1], d.collect()[2]]))
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
@@ -125,6 +178,30 @@ def test_packing(docs, texts):
     assert set(pieces.doc_id) == set(range(len(texts)))
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "x\t" + "\t" * 1_000_000 + "y", "a" * 10_000_000], ids=["blanks", "newlines", "tabs", "letters"])
+def test_packing_takes_very_long_texts(spark, text):
+    pieces = packing.pack(spark.createDataFrame([(1, text), (2, "end")], "doc_id long, text string"), *TOKENIZER).toPandas()
+    assert (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all() and pieces.doc_tokens.max() > 400_000
+
+
+def test_step_groups_are_balanced(docs):
+    pieces = packing.pack(docs.coalesce(1).unionAll(docs.coalesce(1)).coalesce(1), *TOKENIZER).toPandas()
+    sums = pieces.groupby("step_group").length.sum()
+    assert len(sums) > 2 and (sums == packing.STEP_TOKENS).sum() >= len(sums) - 1 and sums.max() == packing.STEP_TOKENS
+
+
+def test_steps_fill_groups_from_any_windows():
+    rnd, dealt = random.Random(2), {}
+    steps = packing.Steps(lambda window, group: dealt.setdefault(group, []).append(window))
+    sizes = [rnd.choice(packing.TIERS) for _ in range(900)] + [1, 2, 8, 32]
+    for size in sizes:
+        steps.add(packing.tier_of(size), size, size)
+    steps.finish()
+    sums = [sum(g) for _, g in sorted(dealt.items())]
+    assert sorted(x for g in dealt.values() for x in g) == sorted(sizes)
+    assert set(sums[:-1]) == {packing.STEP_TOKENS} and sums[-1] <= packing.STEP_TOKENS
+
+
 def test_ranks_give_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
@@ -150,6 +227,49 @@ def test_mixing_stays_within_a_block(docs, spark):
     assert mixing.in_mixed_order(docs).columns == docs.columns
 
 
+def plain_schedule(parts, slots):
+    """Earliest deadline first among released blocks, slot by slot."""
+    period, done, out = sum(parts.values()), dict.fromkeys(parts, 0), []
+    for slot in range(slots):
+        due = {s: (-(-(done[s] + 1) * period // p), done[s] * period // p, s) for s, p in parts.items() if done[s] * period // p <= slot}
+        s = min(due, key=due.get)
+        out.append((s, done[s]))
+        done[s] += 1
+    return out
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables aren't here")
+def test_mixing_query_against_a_plain_scheduler(spark):
+    out = queries.op9_mixing(spark, DATA).toPandas()
+    sizes = out.groupby("source").size()
+    parts = {s: max(1, round(mixing.PARTS * n**0.5 / sum(sizes**0.5))) for s, n in sizes.items()}
+    blocks = {(s, b): set(x.slot) for (s, b), x in out.groupby(["source", "block"])}
+    assert all(len(x) == 1 for x in blocks.values())
+    slots = max(max(x) for x in blocks.values()) + 1
+    want = {key: {slot} for slot, key in enumerate(plain_schedule(parts, slots)) if key in blocks}
+    assert blocks == want and set(sizes.index) == set(parts) and len(set(parts.values())) == len(set(sizes))
+    assert all(sorted(x.place) == list(range(len(x))) for _, x in out.groupby(["source", "block"]))
+    assert len(out) == table(spark, DATA, "documents").count()
+
+
+def test_mixing_weights():
+    assert mixing.whole_parts({"a": 0.1, "b": 0.2, "c": Fraction(1, 7)}) == {"a": 7, "b": 14, "c": 10}
+    with pytest.warns(UserWarning, match="rounded"):
+        small = mixing.whole_parts({"a": 1e-9, "b": 1.0})
+    assert small["a"] == 1 and sum(small.values()) >= mixing.PERIOD
+    for bad in ({}, {"a": 0.0}, {"a": -1}, {"a": float("nan")}, dict.fromkeys(map(str, range(mixing.SOURCES + 1)), 1)):
+        with pytest.raises(ValueError):
+            mixing.whole_parts(bad)
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    rows = [(i % 9 or None, "s", "h", i, {"k": i}, 5, None) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, _source string, _hash string, row int, range map<string,int>, _slot int, source string")
+    assert sorted(map(str, mixing.in_mixed_order(d).collect())) == sorted(map(str, d.collect()))
+    out = mixing.mix(d, {None: 0.7})
+    assert out.columns == [c for c in d.columns if c != "_slot"] + list(mixing.ADDED) and out.select("_slot", "_place").distinct().count() == 300
+
+
 def pii_of(text):
     out = []
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -175,6 +295,55 @@ def test_pii(spark):
         assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
 
 
+def planted(seed=1):
+    rnd = random.Random(seed)
+    d = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    card = lambda: next(c for c in iter(lambda: "4" + d(15), None) if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(c))) % 10 == 0)
+    name = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    some = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    known = [lambda: f"{name()}@{name()}.org", lambda: f"+1 ({d(3)}) 555-{d(4)}", card, lambda: f"{rnd.randint(1, 200)}.{rnd.randint(1, 200)}.{rnd.randint(1, 200)}.{rnd.randint(1, 200)}"]
+    hidden = {
+        "email": lambda: f"{name()} (at) {name()} (dot) org", "phone": lambda: f"({d(3)}) 555-{d(4)}",
+        "card": lambda: (lambda c: f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}")(card()), "ip": lambda: f"{rnd.randint(1, 200)}[.]{rnd.randint(1, 200)}[.]{rnd.randint(1, 200)}[.]{rnd.randint(1, 200)}",
+    }
+    decoys = [lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"{rnd.randint(1900, 2030)}-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)} 1{rnd.randint(0, 9)}.30", lambda: "7" + d(20), lambda: (lambda c: f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:15]}{(int(c[15]) + 1) % 10}")(card())]
+    texts, want = [], {}
+    for i in range(900):
+        text = some(12) + " "
+        if i % 3 == 0:
+            text += rnd.choice(known)()
+        elif i % 3 == 1:
+            text += rnd.choice(decoys)()
+        elif i % 12 == 2:
+            kind = rnd.choice(list(hidden))
+            said = hidden[kind]()
+            want[i] = (kind, len(text), len(text) + len(said))
+            text += said
+        texts.append(text + " " + some(12))
+    return texts, want
+
+
+def test_added_spans_on_planted_forms(spark):
+    texts, want = planted()
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    added = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in rows for s in r["added"]}
+    hits = {(i, k) for i, k, a, b in added if i in want and want[i][0] == k and a <= want[i][2] - 4 and b >= want[i][1] + 4}
+    assert len(hits) >= 0.95 * len(want) and len(hits) >= 0.95 * len(added)
+
+
+def test_redact_by_row(spark):
+    rows = [(None, "x a@b.org y", 1), (1, "mail c@d.org", 2), (1, "plain", 3), (2, None, 4), (3, "", 5), (4, "é😀 " * 900 + "1.2.3.4 end " * 3, 6)]
+    out = {r["_spans"]: tuple(r) for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, _spans int")).collect()}
+    want = ["x <email> y", "mail <email>", "plain", None, "", "é😀 " * 900 + "<ip> end " * 3]
+    assert out == {n: (i, t, n) for (i, _, n), t in zip(rows, want)}
+
+
+def test_pii_in_one_long_text(spark):
+    text = "call 1.2.3.4 or a@b.org, " * 4000 + "7 " * 200_000
+    r = pii.pii_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["n_ip"] == 4000 and r["n_email"] == 4000 and r["base_sha256"] == hashlib.sha256(pii_of(text).encode()).hexdigest()
+
+
 def test_licences(spark):
     texts = ["All rights reserved. x, Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "cc by cc by", None, "", "no licence", "Licensed under the Apache License, Version 2.0."]
     rows = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -307,7 +476,42 @@ def test_toxicity_learns_and_restores(spark):
     rows += [(1000, "the gr3mb0ld cat"), (1001, "the g r u m b o l d cat"), (1002, "the grumb0ld cat"), (1003, "gruuumbold"), (1004, None), (1005, "")]
     out = {r["doc_id"]: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert all(out[i]["predicted"] == y for i, y in labels)
-    assert [out[i]["predicted"] for i in range(1001, 1006)] == [1, 1, 1, 0, 0]
+    assert [out[i]["predicted"] for i in range(1000, 1006)] == [1, 1, 1, 1, 0, 0]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    said = {r["doc_id"]: r["restored"] for r in toxicity.restored_texts(docs, known).collect()}
+    assert "grumbold" in said[1001].split() and said[1002] == "the grumbold cat" and said[1004] == ""
+    odd = docs.unionByName(spark.createDataFrame([(0, "the cat"), (None, "the cat"), (None, "grumbold sat")], "doc_id long, text string"))
+    kept = [r["doc_id"] for r in toxicity.drop_toxic(odd, known).collect()]
+    assert kept.count(0) == 1 and kept.count(None) == 1 and not set(kept) & {i for i, y in labels if y and i}
+
+
+def every_path(token, model, spaced):
+    """The best reading by trying all paths through the lattice."""
+    best = None
+    for path in product(*toxicity._arcs(token, spaced)):
+        said, cost, x, y = "".join(p[0] for p in path), sum(p[1] for p in path), 0, 0
+        for letter in said:
+            z = toxicity._class_of(letter)
+            cost += model.table[x, y, z]
+            x, y = y, z
+        best = max(best or (-1e9, ""), (cost + model.table[x, y, 0], said), key=lambda b: b[0])
+    return best
+
+
+@pytest.mark.parametrize("settle", [2, 1024])
+def test_viterbi_finds_the_best_path(monkeypatch, settle):
+    monkeypatch.setattr(toxicity, "SETTLE", settle)
+    rnd = random.Random(7)
+    model = toxicity.CharModel.of(np.random.default_rng(1).integers(0, 50, toxicity.ALPHABET**3))
+    for _ in range(150):
+        token = "".join(rnd.choice("ab1|6$l-  eé%") * rnd.randint(1, 3) for _ in range(rnd.randint(1, 7)))
+        for spaced in (False, True):
+            assert toxicity.decode(token, model, spaced) == every_path(token, model, spaced)[1]
+
+
+def test_decoding_takes_time_in_proportion():
+    model = toxicity.CharModel.of(np.ones(toxicity.ALPHABET**3))
+    assert len(toxicity.decode("a1" * 150_000, model)) == 300_000
 
 
 def test_toxicity_sees_through_the_gates(spark):
