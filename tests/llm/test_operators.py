@@ -406,9 +406,11 @@ def test_sifting_loses_no_key(spark, monkeypatch, most):
     assert common.sifted(rows, keys.limit(0), "h").count() == 0
 
 
-def test_near_lines(spark):
+@pytest.mark.parametrize("hot", [2048, 3])
+def test_near_lines(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rnd = random.Random(5)
-    base = ["".join(rnd.choice("abé😀 x") for _ in range(rnd.randint(14, 24))) for _ in range(12)]
+    base = ["".join(rnd.choice("abé😀 x") for _ in range(rnd.randint(5, 24))) for _ in range(16)]
     lines = set(base)
     for b in base * 5:
         b = list(b)
@@ -417,9 +419,46 @@ def test_near_lines(spark):
             b[k : k + rnd.randint(0, 1)] = rnd.choice(["", "a", "c"])
         lines.add("".join(b))
     lines = sorted(x for x in lines if x.strip())
-    got = {tuple(sorted(r)) for r in line_dedup.near_lines(spark.createDataFrame(list(enumerate(lines)), "h long, line string")).collect()}
-    want = {(i, j) for i, j in combinations(range(len(lines)), 2) if min(len(lines[i]), len(lines[j])) >= 16 and edits(lines[i], lines[j]) <= 2}
-    assert got == want
+    got = {tuple(sorted(r)) for r in line_dedup.near_lines(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
+    most = lambda a, b: min(2, min(len(a), len(b)) // 8)
+    want = {(i, j) for i, j in combinations(range(len(lines)), 2) if edits(lines[i], lines[j]) <= most(lines[i], lines[j])}
+    assert got == want and {most(lines[i], lines[j]) for i, j in want} == {1, 2}
+
+
+def plain_line_dedup(rows):
+    """Dropped places of each row, by comparing all lines; rows are in order of identifier and place."""
+    lines = [(i, k, line) for i, (_, t) in enumerate(rows) for k, line in enumerate((t or "").split("\n")) if line.strip(" ")]
+    links = [(x, y) for x, y in combinations(range(len(lines)), 2) if (a := lines[x][2]) == (b := lines[y][2]) or edits(a, b) <= min(2, min(len(a), len(b)) // 8)]
+    group = plain_components(len(lines), links)
+    out = [[] for _ in rows]
+    for x, (i, k, _) in enumerate(lines):
+        if group[x] != x:
+            out[i].append(k)
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    rnd = random.Random(11)
+    pool = ["".join(rnd.choice("abc d") for _ in range(rnd.randint(3, 26))) for _ in range(30)]
+    pool += [p[:5] + "x" + p[5:] for p in pool[:15]] + ["", " ", "ab", "é" * 9000, "é" * 9000 + "!"]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 7)))) for i in range(40)] + [(50, None), (51, "")]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, dropped string, _gone int").coalesce(1)
+    want = plain_line_dedup(rows)
+    got = line_dedup.line_dedup(d).collect()
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["dropped"]) for r in got) == sorted(
+        (str(i), len((t or "").split("\n")), len(x), ",".join(map(str, x))) for (i, t), x in zip(rows, want)
+    )
+    left = [t if not x else "\n".join(line for k, line in enumerate(t.split("\n")) if k not in x) for (_, t), x in zip(rows, want)]
+    out = line_dedup.drop_lines(d)
+    assert out.columns == d.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == sorted((str(i), str(t)) for (i, _), t in zip(rows, left))
+
+
+def test_lines_of_repeated_identifiers(spark):
+    rows = [(None, "alpha\nsame"), (None, "beta\nsame"), (None, "gamma\nother"), (5, "one two\nsame"), (5, "three\nmore"), (5, "three\nmore")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = [line for r in line_dedup.drop_lines(d).collect() for line in r["text"].split("\n") if line]
+    assert sorted(lines) == sorted({line for _, t in rows for line in t.split("\n")})
+    assert line_dedup.line_dedup(d).count() == len(rows)
 
 
 def test_line_dedup(spark):
@@ -457,6 +496,30 @@ def test_embeddings_in_large_groups(spark, groups, size, loose):
     assert links > groups * size and 0.95 * links <= sum(r["n_links"] for r in out) <= links
 
 
+@pytest.mark.parametrize("overlap", [2, 0])
+def test_embeddings_over_large_and_dense_shards(spark, monkeypatch, overlap):
+    for name, n in (("SAMPLE", 64), ("SHARD", 40), ("LARGE", 60), ("CHUNK", 32), ("DEAL", 50), ("SHARD_SAMPLE", 100), ("OVERLAP", overlap)):
+        monkeypatch.setattr(embedding_dedup, name, n)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(60, 32)), 6, 0) + 0.08 * rng.normal(size=(360, 32))
+    x = np.concatenate([x, rng.normal(size=32) + 0.05 * rng.normal(size=(300, 32))])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    out = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas().set_index("vec_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    got = out.loc[range(len(x))].n_links.to_numpy()
+    assert (got <= near.sum(1)).all() and got.sum() >= (0.9 if overlap else 1.0) * near.sum() and got[360:].sum() == near[360:].sum()
+
+
+def test_embeddings_in_double_precision_and_by_row(spark):
+    rows = [(1, [1.0, -0.0, 2.0], 1), (2, [1.0, -0.0, 2.0], 1), (3, [1.0, 0.0, 2.0], 1), (5, [1e39, 1e39, 1.0], 2), (6, [1e39, 1e39, 1.0], 2)]
+    rows += [(7, [1e-320, 0.0, 0.0], 2), (None, [1.0, 0.0, 2.001], 1), (9, [0.0, 1.0, 0.0], 1), (9, [1.0, 0.0, 2.0], 1), (10, [0.0, 1.0, 0.0], 1)]
+    out = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).drop("audit_recall").collect()
+    want = [(1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (None, 4, 1, False), (9, 4, 1, False), (9, 1, 9, True), (10, 1, 9, False)]
+    want += [(5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+
+
 def test_bridges_join_all_components():
     rng = np.random.default_rng(2)
     x = embedding_dedup._unit(pa.array(np.repeat(rng.normal(size=(9, 32)), 90, 0).tolist()) ) + 0.01 * rng.normal(size=(810, 32))

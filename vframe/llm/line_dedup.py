@@ -1,66 +1,78 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines within EDITS edits share a segment: cut the shorter (or equal) line into EDITS + 1 segments,
+Two lines may differ by one edit for each PER code points of the shorter, EDITS at most. If they do so within e edits, they
+share a segment: cut the shorter (or equal) line into e + 1 segments,
 and the other line holds one of them untouched, at a start that its number and the
 lengths allow. So each distinct line is indexed under its segments with its length, and
 probes the substrings of itself that could be a segment of a line up to EDITS shorter. Starts
 are those of multi-match selection: before segment i at most i - 1 edits, after it at
-most EDITS + 1 - i. Equal keys make candidates. As many lines may share a long passage, the join
-itself drops pairs whose letter parities differ in more bits than EDITS edits can change, and a
-banded bit-parallel edit distance verifies the rest.
+most e + 1 - i. Equal keys make candidates. As many lines may share a long passage, the join
+itself drops pairs whose letter parities differ in more bits than e edits can change, and deals the rows of a hot segment as
+pairs of chunks; a banded bit-parallel edit distance verifies the rest.
 
-The verifier keeps, for each number of errors, a word whose bits are the 2 * EDITS + 1 diagonals
+The verifier keeps, for each number of errors, a word whose bits are the 2 * e + 1 diagonals
 of the band; one step for each character advances all of them by shifts and masks.
 
-All of it is column expressions; no Python runs on the executors.
+Lines are distinct by their text, and are looked up by two independent 64-bit hashes together. All of it is column
+expressions; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vframe.llm.common import attach, components, discard, sifted, width, written
+from vframe.llm.common import addressed, attach, bind, components, discard, fresh, sifted, width, written
 
 EDITS = 2
-#: Code points from which on a line may differ from its like; shorter ones link only when equal.
-LEAST = 16
+#: Code points of the shorter line for each edit: lines of fewer link only when equal.
+PER = 8
+#: Rows of a chunk of a hot segment.
+HOT = 2048
 
 
-def _segment(length: Column, i: Column | int, edits: int) -> tuple[Column, Column]:
+def allowed(length: Column, edits: int = EDITS) -> Column:
+    """The edits that may part a line of ``length`` from a line as long or longer."""
+    return F.least(F.lit(edits), F.floor(length / PER).cast("int"))
+
+
+def _segment(length: Column, i: Column | int, edits: Column | int) -> tuple[Column, Column]:
     """Start (from 0) and size of segment i (from 1): the later ones take what doesn't divide evenly."""
-    i = F.lit(i) if isinstance(i, int) else i
+    i, edits = (F.lit(x) if isinstance(x, int) else x for x in (i, edits))
     size, longer = F.floor(length / (edits + 1)), length % (edits + 1)
     short = edits + 1 - longer  # segments of the smaller size
     start = size * (i - 1) + F.greatest(F.lit(0), i - 1 - short)
     return start.cast("int"), (size + (i > short).cast("int")).cast("int")
 
 
-def parts(edits: int = EDITS) -> list[tuple[int, int, int]]:
-    """What a line indexes or probes, as (how much shorter the other line is, number of the segment, shift of its start)."""
+def parts(edits: int) -> list[tuple[int, int, int, int]]:
+    """What a line indexes or probes for lines that allow ``edits``, as (edits, how much shorter the other line is, number of the segment, shift of its start)."""
     out = []
     for shorter in range(edits + 1):
         for i in range(1, edits + 2):
             before, after = i - 1, edits + 1 - i
-            out += [(shorter, i, d) for d in range(max(-before, shorter - after), min(before, shorter + after) + 1)]
+            out += [(edits, shorter, i, d) for d in range(max(-before, shorter - after), min(before, shorter + after) + 1)]
     return out
 
 
 def keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Keys of lines (h, line, n) as (h, key, own): own if the line is indexed by it, not only probed for.
+    """Keys of lines (id, line, n) as (id, key, own): own if the line is indexed by it, not only probed for.
 
     The parts are exploded as a constant, so that the compiled code holds one small expression for all of them.
     """
-    table = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("shorter", "i", "d"), p, strict=True)]) for p in parts(edits)])
-    each = lines.select("h", "line", "n", F.explode(table).alias("p"))
-    length, i = F.col("n") - F.col("p.shorter"), F.col("p.i")
-    start, size = _segment(length, i, edits)
+    table = lambda some: F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("e", "shorter", "i", "d"), p, strict=True)]) for p in some])
+    every = [p for e in range(1, edits + 1) for p in parts(e)]
+    long = F.col("n") >= PER * edits + edits  # all lines that it may meet allow all edits
+    each = lines.select("id", "line", "n", F.explode(F.when(long, table(parts(edits))).otherwise(table(every))).alias("p"))
+    length, i, e = F.col("n") - F.col("p.shorter"), F.col("p.i"), F.col("p.e")
+    start, size = _segment(length, i, e)
     start = start + F.col("p.d")
     key = F.xxhash64(length, i, F.substr(F.col("line"), start + 1, size)).alias("key")
     own = (F.col("p.shorter") == 0) & (F.col("p.d") == 0)
-    return each.where((start >= 0) & (start + size <= F.col("n"))).select("h", key, own.alias("own"))
+    fits = (start >= 0) & (start + size <= F.col("n")) & (allowed(length, edits) == e)
+    return each.where(fits).select("id", key, own.alias("own"))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -136,89 +148,116 @@ def letter_parities(line: Column) -> Column:
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links (a, b) among distinct lines (h long, line string) of LEAST code points or more."""
-    sized = lines.select("h", "line", F.length("line").alias("n")).where(F.col("n") >= LEAST)
-    by_key = Window.partitionBy("key")
-    met = (
-        keyed(sized, edits)
-        .withColumn("n", F.count("*").over(by_key))
-        .withColumn("owned", F.max("own").over(by_key))
-        .where("n > 1 and owned")
-        .select("key", "h", "own")
-    )
-    met = written(met.distinct())
-    ids = written(met.select("h").distinct())
+    """Links (a, b) among distinct lines (id long, line string) within the edits that the shorter allows."""
+    sized = lines.select("id", "line", F.length("line").alias("n")).where(F.col("n") >= PER)
+    keys = keyed(sized, edits)
+    # Counts combine before the shuffle, so a hot segment is no task's burden; only rows that meet an indexed line go on.
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("m"), F.bool_or("own").alias("owned")).where("m > 1 and owned").drop("owned"))
+    met = written(sifted(keys, shared, "key").join(shared, "key").distinct())
+    ids = written(met.select("id").distinct())
     # Not a semi-join, which the optimiser would move ahead of the sifting.
-    likely = sifted(lines.select("h", "line"), ids, "h").join(ids, "h")
+    likely = sifted(sized, ids, "id").join(ids, "id")
     some = written(likely.withColumn("letters", letter_parities(F.col("line"))))
-    marked = met.join(some.select("h", "letters"), "h")
-    index = marked.where("own").select("key", F.col("h").alias("a"), F.col("letters").alias("letters_a"))
-    alike = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a"))) <= 2 * edits
-    probes = marked.select(F.col("key").alias("probe"), F.col("h").alias("b"), "letters", "own")
+    # The rows of a hot segment are dealt to chunks, and each pair of chunks is a group of its own.
+    chunks = F.ceil(F.col("m") / HOT).cast("int")
+    chunk = lambda name: F.pmod(F.xxhash64(F.lit(7), name), F.col("k")).cast("int")
+    marked = met.join(some.select("id", "letters", "n"), "id").withColumn("k", chunks)
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    index = marked.where("own").select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"), F.col("n").alias("n_a"), chunk("id").alias("x"), every.alias("y"))
+    probes = marked.select(F.col("key").alias("probe"), F.col("id").alias("b"), "letters", "own", "n", chunk("id").alias("v"), every.alias("u"))
+    limit = allowed(F.least("n", "n_a"), edits)
+    alike = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a"))) <= 2 * limit
     once = (F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b")))
-    pairs = probes.join(index, (F.col("probe") == F.col("key")) & alike & once)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    full = pairs.join(some.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(
-        some.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b"
+    same = (F.col("probe") == F.col("key")) & (F.col("u") == F.col("x")) & (F.col("v") == F.col("y"))
+    pairs = probes.join(index, same & alike & once)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), limit.alias("limit")).distinct()
+    full = pairs.join(some.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(
+        some.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b"
     )
     # Few pairs of long work: an even deal, and the middles written so that no step trims them again.
     middles = written(trimmed(full, "line_a", "line_b").repartition(width(lines.sparkSession), "a", "b"))
-    likely = middles.where(plausible(F.col("line_a"), F.col("line_b"), edits))
-    out = written(verified(likely, "line_a", "line_b", edits).select("a", "b").distinct())
-    for done in (met, ids, some, middles):
-        discard(done)
+    found = []
+    for e in range(1, edits + 1):
+        mine = middles.where(F.col("limit") == e)
+        likely = mine.where(plausible(F.col("line_a"), F.col("line_b"), e))
+        found.append(verified(likely, "line_a", "line_b", e).select("a", "b"))
+    out = written(reduce(DataFrame.unionByName, found).distinct())
+    discard(shared, met, ids, some, middles)
     return out
 
 
+def _addressed(docs: DataFrame) -> tuple[DataFrame, str, Column]:
+    """``docs`` by place; the column's name and its hash, which with the identifier tells rows apart."""
+    docs, row = addressed(docs)
+    return docs, row, F.xxhash64(F.col(row)["file"], F.col(row)["at"])
+
+
+def _listed(docs: DataFrame, row: Column, id_col: str, text_col: str, edits: int) -> DataFrame:
+    """(doc_id, row, places, near) of the documents that lose lines."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.split(text, "\n", -1).alias("lines"))
+    each = source.select("doc_id", "row", F.posexplode("lines").alias("place", "line")).where("trim(line) <> ''")
+    hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]  # seeded apart, so independent
+    places = each.select("doc_id", "row", "place", *hashes)
+    lines = written(each.where(F.length("line") >= PER).select("line").distinct().withColumn("id", F.monotonically_increasing_id()), "zstd")
+    links = near_lines(lines, edits)
+    groups = written(components(links).select(F.col("node").alias("id"), F.col("component").alias("class")))
+    linked = written(sifted(lines.withColumn("key", F.xxhash64("id")), groups.select(F.xxhash64("id").alias("key")), "key").join(groups, "id").select(*hashes, "class"))
+    discard(lines, links, groups)
+    first = places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
+    # A line that occurs once and links with none is never dropped, so it needs no lookup.
+    classed = written(first.join(linked, ["h", "g"], "left").where((F.col("n") > 1) | F.col("class").isNotNull()))
+    best = classed.where("class is not null").groupBy("class").agg(F.min(F.struct("first", "h", "g")).alias("best"))
+    same = (F.coalesce("best.h", "h") == F.col("h")) & (F.coalesce("best.g", "g") == F.col("g"))
+    lookup = attach(classed, best, "class", "h").select("h", "g", F.coalesce("best.first", "first").alias("first"), (~same).alias("near"))
+    found = attach(sifted(places, classed.select("h"), "h"), lookup, ["h", "g"], "row").where("first is not null")
+    dropped = found.where(~F.struct("doc_id", "row", "place").eqNullSafe(F.col("first")))
+    return dropped.groupBy("doc_id", "row").agg(
+        F.array_sort(F.collect_list("place")).alias("places"), F.count_if("near").alias("near")
+    )
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """Find the lines of each document that equal or nearly equal an earlier line of the corpus.
 
-    Lines are what newlines part. Lines that link within ``edits`` edits, directly or through others,
-    form a class; its first line by (doc_id, place) stays and the others are dropped. Blank
+    Lines are what newlines part. Lines that link, directly or through others,
+    form a class; its first line by (doc_id, row, place) stays and the others are dropped. Blank
     lines always stay. Returns doc_id, n_lines, n_dropped, n_near (dropped lines whose text
     differs from the one that stays) and dropped (their places from 0, comma-joined), one row
-    for each input row. Null and empty texts have one blank line. Repeated rows are the same
-    lines and get the same result. Rows without an identifier come first. No rows give no rows; other
-    columns are ignored.
+    for each input row. Null and empty texts have one blank line. Rows are told apart by their place: of repeated rows, with or without
+    an identifier, the first keeps its lines and the others lose them. Rows without an identifier come first. No rows give
+    no rows; other columns are ignored.
     """
+    docs, _, row = _addressed(docs)
+    listed = _listed(docs, row, id_col, text_col, edits).withColumnsRenamed({"doc_id": "_id", "row": "_at"})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(text, "\n", -1).alias("lines"))
-    each = source.select("doc_id", F.posexplode("lines").alias("place", "line")).where("trim(line) <> ''")
-    places = each.select("doc_id", "place", F.xxhash64("line").alias("h"))
-    distinct = written(each.where(F.length("line") >= LEAST).select("line").distinct(), "zstd")
-    links = near_lines(distinct.select(F.xxhash64("line").alias("h"), "line"), edits)
-    discard(distinct)
-    groups = components(links).select(F.col("node").alias("h"), F.col("component").alias("class"))
-    discard(links)
-    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
-    # A line that occurs once and links with none is never dropped, so it needs no lookup.
-    classed = written(first.join(groups, "h", "left").where((F.col("n") > 1) | F.col("class").isNotNull()))
-    best = classed.where("class is not null").groupBy("class").agg(F.min(F.struct("first", "h")).alias("best"))
-    lookup = classed.join(best, "class", "left").select(
-        "h", F.coalesce("best.first", "first").alias("first"), (F.coalesce("best.h", "h") != F.col("h")).alias("near")
-    )
-    found = attach(sifted(places, classed.select("h"), "h"), lookup, "h", "doc_id").where("first is not null")
-    dropped = found.where(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
-    listed = dropped.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set(F.when(F.col("near"), F.col("place")))).alias("near")
-    )
-    rows, ids = source.select("doc_id", F.size("lines").cast("long").alias("n_lines")), listed.withColumnRenamed("doc_id", "_id")
-    out = rows.join(ids, rows["doc_id"].eqNullSafe(ids["_id"]), "left")
-    none = F.array().cast("array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
+    out = rows.join(listed, (rows["row"] == listed["_at"]) & rows["doc_id"].eqNullSafe(listed["_id"]), "left")
+    places = F.coalesce("places", F.array().cast("array<int>"))
     return out.select(
         "doc_id",
         "n_lines",
-        F.size(F.coalesce("places", none)).cast("long").alias("n_dropped"),
-        F.size(F.coalesce("near", none)).cast("long").alias("n_near"),
-        F.array_join(F.coalesce("places", none).cast("array<string>"), ",").alias("dropped"),
+        F.size(places).cast("long").alias("n_dropped"),
+        F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
+        F.array_join(places.cast("array<string>"), ",").alias("dropped"),
     )
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """An array without the elements at places ``gone``: both are sorted together, so that a gone place stands before its element."""
+    kept = F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.lit(1).alias("line"), line.alias("text")))
+    marks = F.transform(gone, lambda i: F.struct(i.alias("i"), F.lit(0).alias("line"), F.lit(None).cast("string").alias("text")))
+    stays = lambda a, x, i: (x["line"] == 1) & ((i == 0) | (F.get(a, i - 1)["i"] != x["i"]))
+    return bind(F.array_sort(F.concat(kept, marks)), lambda a: F.transform(F.filter(a, lambda x, i: stays(a, x, i)), lambda x: x["text"]))
+
+
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """``docs`` with the dropped lines taken out of the texts; columns and rows stay as they are."""
-    found = line_dedup(docs, id_col, text_col, edits).where("n_dropped > 0").select(F.col("doc_id").alias("_id"), "dropped").distinct()
-    both = docs.join(found, docs[id_col].eqNullSafe(found["_id"]), "left")
-    gone = F.split("dropped", ",").cast("array<int>")
-    left = F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1), lambda line, i: ~F.array_contains(gone, i))
-    text = F.when(F.col("dropped").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
-    return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    """``docs`` with the dropped lines taken out of the texts; columns and rows stay as they are, null texts too."""
+    names = docs.columns
+    docs, _, row = _addressed(docs)
+    at, own, gone = (fresh(docs, n) for n in ("_at", "_own", "_gone"))
+    found = _listed(docs, row, id_col, text_col, edits).select(F.col("row").alias(at), F.col("doc_id").alias(own), F.col("places").alias(gone))
+    both = docs.join(found, (row == F.col(at)) & F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left")
+    left = F.array_join(_without(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), F.col(gone)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)
+    return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in names])
