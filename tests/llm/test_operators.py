@@ -375,17 +375,55 @@ def test_chat_round_trip(spark, layout):
     rows = chat_format.read_back(chat_format.format_chat(spark.createDataFrame([(1, LAYOUTS[layout]), (2, None)], f"id long, {layout}"), "id")).collect()
     got = {r["id"]: r for r in rows}
     want = [(chat_format.ROLES.get(role, "user"), text or "") for role, text in LAYOUTS[layout]]
-    assert [tuple(t) for t in got[1]["turns"]] == want and got[2]["turns"] == []
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == want and got[2]["turns"] == []
+    assert [t["said"] for t in got[1]["turns"]] == [role or "user" for role, _ in LAYOUTS[layout]]
     assert got[1]["loss_texts"] == [t for r, t in want if r == "assistant"]
 
 
 def test_chat_layouts(spark):
     d = spark.createDataFrame([(1, "do", None, "done")], "id long, instruction string, input string, output string")
-    assert [tuple(t) for t in chat_format.canonical(d, "id").first()["turns"]] == [("user", "do"), ("assistant", "done")]
+    assert [(t["role"], t["text"]) for t in chat_format.canonical(d, "id").first()["turns"]] == [("user", "do"), ("assistant", "done")]
     with pytest.raises(ValueError):
         chat_format.canonical(d, "id", ["input"])
 
 
+def test_layouts_differ_from_row_to_row(spark):
+    schema = "id long, messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, prompt string, response string, system string, odd string"
+    rows = [
+        (1, [("human", "a"), ("GPT", "b")], None, None, None, None, None), (2, None, [("a=>b", "x"), (None, None)], None, None, None, None),
+        (3, None, None, "p", "r", None, None), (4, None, None, "p", "r", "s", None), (5, None, None, None, None, None, "?"), (6, None, None, None, None, None, None),
+        (7, [], None, None, None, None, None), (None, [(None, "only text")], None, None, None, None, None), (None, None, None, "", None, None, None),
+        (8, [("user", "a"), ("assistant", "b")], None, "p", None, None, None),
+    ]
+    d = spark.createDataFrame(rows, schema)
+    made = chat_format.format_chat(d, "id")
+    got = sorted((str(r["id"]), str([(t["role"], t["text"], t["said"]) for t in r["turns"] or []]), str(r["loss_texts"])) for r in chat_format.read_back(made).collect())
+    want = [
+        ("1", [("user", "a", "human"), ("assistant", "b", "GPT")], ["b"]), ("2", [("a=>b", "x", "a=>b"), ("user", "", "user")], []),
+        ("3", [("user", "p", "user"), ("assistant", "r", "assistant")], ["r"]), ("4", [("system", "s", "system"), ("user", "p", "user"), ("assistant", "r", "assistant")], ["r"]),
+        ("5", [], None), ("6", [], []), ("7", [], []), ("None", [("user", "only text", "user")], []), ("None", [("user", "", "user")], []), ("8", [], None),
+    ]
+    assert got == sorted((i, str(t), str(x)) for i, t, x in want)
+    assert {r["id"] for r in made.where("formatted is null").collect()} == {5, 8}
+    assert made.where("formatted is not null").select("layout").distinct().count() == 7
+    assert chat_format.chat_digest(d.where("false"), "id").count() == 0
+
+
+def test_records_take_several_layouts(spark):
+    said = [["user", "assistant"], ["system", "user", "assistant"], ["user"], ["user", "assistant", "user", "Bot"], ["a", "b"], [None, None, None]]
+    rows = [(i, k, role, None if i % 5 == 0 else "".join(random.Random(i * k).choice("<>\\lge=é</s>") for _ in range(k * 700))) for i in range(60) for k, role in enumerate(said[i % 6])]
+    d = spark.createDataFrame(rows + [(None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    records = chat_format.conversations_as_records(d)
+    assert chat_format.canonical(records, "conv_id").select("layout").distinct().count() >= 6
+    digest = {r["conv_id"]: r for r in chat_format.chat_digest(records, "conv_id").collect()}
+    assert len(digest) == 61
+    for i in range(60):
+        mine = [(r[2] or "user", r[3] or "") for r in rows if r[0] == i]
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert digest[i]["turns_sha256"] == sha("".join(f"{r}\n{t}\n" for r, t in mine))
+        assert digest[i]["loss_sha256"] == sha("".join(t for r, t in mine if chat_format.ROLES.get(r.lower(), r) == "assistant"))
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -134,6 +134,22 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Code points of a stretch that texts are cut by.
+STRETCH = 1024
+
+
+def stretches(text: Column) -> Column:
+    """A text in stretches of STRETCH code points, for :func:`between`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+
+def between(cut: Column, a: Column, b: Column) -> Column:
+    """The code points of a text in stretches from ``a`` to before ``b``: this costs a piece's own length, and not its place in the text."""
+    first = F.floor(a / STRETCH).cast("int")
+    some = F.slice(cut, first + 1, F.floor((b - 1) / STRETCH).cast("int") - first + 1)
+    return F.when(b > a, F.substr(F.array_join(some, ""), a % STRETCH + 1, b - a)).otherwise("")
+
+
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions in force."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -69,7 +69,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType.fromDDL("conv_id long, turn long, role string, text string")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], schema)
     rows = table(spark, sf_dir, "conversations").select(*schema.names).unionByName(extra)
-    return chat_format.chat_digest(chat_format.conversations_as_records(rows), "conv_id", ["messages"])
+    return chat_format.chat_digest(chat_format.conversations_as_records(rows), "conv_id")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
