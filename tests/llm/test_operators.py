@@ -354,14 +354,76 @@ def test_licences(spark):
 
 
 def test_automaton_matches_substrings():
-    rnd, texts = random.Random(2), [[1, 2, 3, 1, 2, 4], [2, 3, 5], [1, 2, 3, 5, 5]]
-    machine = license_scan.Automaton(texts)
-    runs = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    rnd, texts = random.Random(2), [[1, 2, 3, 1, 2, 4], [2, 3, 5], [1, 2, 3, 5, 5], [2, 3, 5]]
+    joined = [(t, k) for t, text in enumerate(texts) for k in range(len(text) + 1)]
+    at = {p: i for i, p in enumerate(joined)}
+    for least in (1, 2):
+        machine = license_scan.Automaton(texts, least)
+        for _ in range(300):
+            words = [rnd.randint(1, 6) for _ in range(12)]
+            want = set()
+            for t, text in enumerate(texts):
+                for i, k in product(range(12), range(len(text))):
+                    if words[i] == text[k] and (i == 0 or k == 0 or words[i - 1] != text[k - 1]):
+                        n = next((n for n in range(12) if i + n == 12 or k + n == len(text) or words[i + n] != text[k + n]), 12)
+                        if n >= least:
+                            want.add((i, at[t, k], n))
+            got = machine.matches(words)
+            assert len(got) == len(set(got)) and set(map(tuple, got)) == want
+
+
+def test_chains_are_the_best_ones():
+    rnd = random.Random(4)
     for _ in range(300):
-        words = [rnd.randint(1, 6) for _ in range(12)]
-        longest = [max((n for n in range(i + 2) if n == 0 or tuple(words[i + 1 - n : i + 1]) in runs)) for i in range(12)]
-        want = [(i + 1 - n, n) for i, n in enumerate(longest) if n >= 2 and (i == 11 or longest[i + 1] != n + 1)]
-        assert [m[:2] for m in machine.maximal(words, 2)] == want
+        found = [license_scan.Match(rnd.randint(0, 20), rnd.randint(0, 12), rnd.randint(1, 5)) for _ in range(rnd.randint(1, 6))]
+        most = 0
+        for n in range(1, len(found) + 1):
+            for some in combinations(sorted(found), n):
+                covered, sound = some[0].length, True
+                for b, m in zip(some, some[1:]):
+                    lost = max(0, b.start + b.length - m.start, b.at + b.length - m.at)
+                    sound &= lost < m.length and m.start + lost - b.start - b.length <= 3
+                    covered += m.length - lost
+                most = max(most, covered if sound else 0)
+        got = license_scan.chains(found, 3)
+        assert max(c for *_, c in got) == most
+        spans = sorted(got)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_edited_notices_are_covered():
+    scan = license_scan.Scanner().scan
+    words = lambda text: license_scan.WORD.findall(text.lower())
+    apache = license_scan.TEMPLATES["apache"][1]
+    assert scan(words("x " + apache.replace("You may obtain a copy of the License at ", "") + " y"))["labels"] == "apache"
+    for label, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            found = scan(words(f"Copyright 2020. {text} The end."))
+            assert label in found["labels"].split(",") and found["score"] == 1.0
+            cut = words(text)
+            if len(cut) > 30:
+                cut[12:14] = ["other", "words", "here"]
+                assert label in scan(cut)["labels"].split(",")
+    assert scan(words(license_scan.TEMPLATES["mit"][2]) * 300)["n_words"] > 40_000
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables aren't here")
+def test_licence_base_columns_against_sql(spark):
+    import duckdb
+
+    phrases = "(VALUES ('cc by', 'cc-by'), ('general public license', 'gpl'), ('all rights reserved', 'reserved')) AS p(phrase, label)"
+    sql = f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+                   FROM '{DATA.replace("0.001", "0.01")}/documents.parquet'),
+        e AS (SELECT doc_id, i, w, label, phrase FROM d, {phrases}, LATERAL (SELECT unnest(range(len(w))) AS i)),
+        f AS (SELECT doc_id, i, label FROM e WHERE array_to_string(w[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase)
+        SELECT d.doc_id, len(w) AS n_words, count(f.i) AS n_base, min(f.i) AS first_word, max(f.i) AS last_word,
+               coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label), '') AS base_labels
+        FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id, w"""
+    want = sorted(tuple(r) for r in duckdb.sql(sql).fetchall())
+    found = queries.op8_license_scan(spark, DATA.replace("0.001", "0.01")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in found) == want
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in found)
 
 
 LAYOUTS = {

@@ -2,17 +2,19 @@
 
 The automaton accepts every run of words of every template. Streaming a text through
 it gives the matching statistics: at each word, the length of the longest run ending
-there that some template holds, and where in that template. Runs that
-can't be lengthened are matches; the long ones are chained, in text order and in template order,
-into spans, and a span's share of its template's words is its cover.
-Memory is the automaton, whose size the templates fix.
+there that some template holds. Its state, and the states on its suffix links, hold all the places in templates
+where that run or an ending of it stands. Places that move on with the text are matches; they are chained, in text order and in template order, by
+dynamic programming for the largest cover, a later match losing what overlaps the one before.
+Chains that cover enough of their template are spans. Memory is the automaton, whose size the templates fix.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,37 +26,81 @@ from vframe.llm.common import ascii_lower
 # Phrases that count wherever they stand, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Public licence notices.
+# Public licence notices, and whole licences where they are short. Signs and case don't count.
 TEMPLATES = {
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "apache": [
-        "licensed under the apache license version 2 0",
-        "you may not use this file except in compliance with the license you may obtain a copy of the license at "
-        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software "
-        "distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
+        "Licensed under the Apache License, Version 2.0",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+        "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
     ],
     "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that "
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
         "the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR "
+        "A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+        "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+        "POSSIBILITY OF SUCH DAMAGE.",
     ],
     "cc-by": [
-        "licensed under cc by 4 0",
-        "this work is licensed under a creative commons attribution 4 0 international license",
+        "Licensed under CC BY 4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
     ],
-    "cc-by-nc": ["licensed under cc by nc 4 0"],
-    "cc-by-sa": ["licensed under cc by sa 4 0"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "gpl": [
-        "this work is licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-        "public license as published by the free software foundation either version 3 of the license or at your "
-        "option any later version",
+        "This work is licensed under the GNU General Public License version 3",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 3 of the License, or (at your "
+        "option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies.",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ],
     "mit": [
-        "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-        "documentation files the software to deal in the software without restriction",
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+        "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS "
+        "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "reserved": ["All rights reserved"],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means.",
+    ],
+    "zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute "
+        "it freely, subject to the following restrictions",
     ],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "reserved": ["all rights reserved"],
 }
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -70,30 +116,41 @@ LEAST_COVER = 0.75
 class State:
     length: int = 0
     link: int = -1
-    end: int = -1  # where one of its runs ends in the joined templates
+    ends: list[int] = field(default_factory=list)  # where its runs end in the joined templates
     next: dict[int, int] = field(default_factory=dict)
 
 
+class Match(NamedTuple):
+    start: int  # in the text
+    at: int  # in the joined templates
+    length: int
+
+
 class Automaton:
-    """A generalised suffix automaton over word numbers; ``end`` locates a run in the joined templates."""
+    """A generalised suffix automaton over word numbers; states of runs of ``least`` words or more know all their ends."""
 
-    def __init__(self, texts: list[list[int]]) -> None:
-        self.states = [State()]
+    def __init__(self, texts: list[list[int]], least: int = 1) -> None:
+        self.states, self.least = [State()], least
         at = 0
         for text in texts:
             last = 0
             for word in text:
-                last = self._extend(last, word, at)
+                last = self._extend(last, word)
+                self.states[last].ends.append(at)
                 at += 1
+            at += 1  # a gap, so that no match goes on from one template to the next
+        for state in sorted(self.states, key=lambda s: -s.length):
+            if state.link >= 0 and self.states[state.link].length >= least:
+                self.states[state.link].ends += state.ends
 
-    def _extend(self, last: int, word: int, end: int) -> int:
+    def _extend(self, last: int, word: int) -> int:
         states = self.states
         if word in states[last].next:
             known = states[last].next[word]
             if states[known].length == states[last].length + 1:
                 return known
             return self._split(last, word, known)
-        states.append(State(states[last].length + 1, 0, end))
+        states.append(State(states[last].length + 1, 0))
         fresh, p = len(states) - 1, last
         while p >= 0 and word not in states[p].next:
             states[p].next[word] = fresh
@@ -107,7 +164,7 @@ class Automaton:
     def _split(self, p: int, word: int, known: int) -> int:
         states = self.states
         old = states[known]
-        states.append(State(states[p].length + 1, old.link, old.end, dict(old.next)))
+        states.append(State(states[p].length + 1, old.link, [], dict(old.next)))
         clone = len(states) - 1
         old.link = clone
         while p >= 0 and states[p].next.get(word) == known:
@@ -115,21 +172,64 @@ class Automaton:
             p = states[p].link
         return clone
 
-    def maximal(self, words: list[int], least: int) -> list[tuple[int, int, int]]:
-        """Matches of ``least`` words or more that can't be lengthened to the right: (start, length, template end)."""
-        states, state, length, out = self.states, 0, 0, []
-        for i, word in enumerate(words):
-            before = (state, length)
+    def statistics(self, words: list[int]) -> Iterator[tuple[int, int]]:
+        """At each word the state and the length of the longest run of a template that ends there."""
+        states, state, length = self.states, 0, 0
+        for word in words:
             while state and word not in states[state].next:
                 state = states[state].link
                 length = states[state].length
             if word in states[state].next:
                 state, length = states[state].next[word], length + 1
-            if length != before[1] + 1 and before[1] >= least:
-                out.append((i - before[1], before[1], states[before[0]].end))
-        if length >= least:
-            out.append((len(words) - length, length, states[state].end))
-        return out
+            yield state, length
+
+    def matches(self, words: list[int]) -> list[Match]:
+        """All runs of ``least`` words or more that the text shares with a place in the templates and that neither side lengthens."""
+        states, out = self.states, []
+        running: dict[int, Match] = {}  # by the place in the templates where it goes on
+        for i, (state, length) in enumerate(self.statistics(words)):
+            now: dict[int, Match] = {}
+            while length >= self.least:
+                for end in states[state].ends:
+                    if end + 1 not in now:
+                        before = running.pop(end, None)
+                        now[end + 1] = Match(before.start, before.at, before.length + 1) if before else Match(i - length + 1, end - length + 1, length)
+                state = states[state].link
+                length = states[state].length
+            out += running.values()
+            running = now
+        return [*out, *running.values()]
+
+
+def chains(matches: list[Match], gap: int) -> list[tuple[int, int, int]]:
+    """The best chains of one template's matches as (start, end, words covered), each text place in one chain.
+
+    Matches follow each other in text and template, at most ``gap`` words of the text apart; a later one loses what overlaps the one
+    before. Of all chains that end in a match the one of most words counts.
+    """
+    matches = sorted(matches)
+    longest = max((m.length for m in matches), default=0)
+    best: list[tuple[int, int]] = []  # words covered, and the start of the chain
+    first = 0
+    for j, m in enumerate(matches):
+        while matches[first].start < m.start - gap - longest:
+            first += 1
+        covered, start = m.length, m.start
+        for i in range(first, j):
+            b = matches[i]
+            lost = max(0, b.start + b.length - m.start, b.at + b.length - m.at)
+            if lost < m.length and m.start + lost - b.start - b.length <= gap and best[i][0] + m.length - lost > covered:
+                covered, start = best[i][0] + m.length - lost, best[i][1]
+        best.append((covered, start))
+    out: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int]] = []
+    for (covered, start), m in sorted(zip(best, matches, strict=True), key=lambda x: (-x[0][0], x[0][1])):
+        end = m.start + m.length
+        k = bisect.bisect(taken, (start, end))
+        if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= end):
+            taken.insert(k, (start, end))
+            out.append((start, end, covered))
+    return out
 
 
 class Scanner:
@@ -137,16 +237,16 @@ class Scanner:
 
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> None:
         self.number: dict[str, int] = {}
-        code = lambda text: [self.number.setdefault(w, len(self.number)) for w in text.split()]
+        code = lambda text: [self.number.setdefault(w, len(self.number)) for w in WORD.findall(text.lower())]
         self.phrases = [(np.array(code(p)), label) for p, label in phrases.items()]
         self.labels, self.texts = [], []
         for label, texts in templates.items():
             for text in texts:
                 self.labels.append(label)
                 self.texts.append(code(text))
-        self.automaton = Automaton(self.texts)
-        self.starts = np.cumsum([0, *map(len, self.texts)])
         self.least = min(LEAST_MATCH, *map(len, self.texts))
+        self.automaton = Automaton(self.texts, self.least)
+        self.owner = np.repeat(np.arange(len(self.texts)), [len(t) + 1 for t in self.texts])  # the template of each joined word
 
     def _places(self, codes: np.ndarray) -> Iterator[tuple[int, str]]:
         """Where the phrases stand."""
@@ -159,42 +259,21 @@ class Scanner:
                 for at in np.flatnonzero(here):
                     yield int(at), label
 
-    def _matches(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """Maximal matches of the stretches whose words templates have."""
+    def _spans(self, codes: np.ndarray) -> list[tuple[int, int, str, float]]:
+        """Covered template spans: (start, end, label, cover), from the stretches whose words templates have."""
         known = codes >= 0
         edges = np.flatnonzero(np.diff(np.r_[False, known, False].astype(np.int8)))
-        out = []
+        by_template: dict[int, list[Match]] = {}
         for start, end in edges.reshape(-1, 2):
             if end - start >= self.least:
-                found = self.automaton.maximal(codes[start:end].tolist(), self.least)
-                out += [(start + at, length, last) for at, length, last in found]
-        return out
-
-    def _spans(self, codes: np.ndarray) -> list[tuple[int, int, str, float]]:
-        """Chains of matches by template: (start, end, label, cover).
-
-        A match may be a run of several templates, so each template is held against it.
-        """
-        matches, out = self._matches(codes), []
-        for label, text in zip(self.labels, self.texts, strict=True):
-            mine = []
-            for at, length, _ in matches:
-                run = codes[at : at + length].tolist()
-                best = max(_shared(run, text), key=lambda m: m[2], default=None)
-                if best and best[2] >= min(self.least, len(text)):
-                    mine.append((at + best[0], best[1], best[2]))
-            chain: list[tuple[int, int, int]] = []
-            for match in [*mine, None]:
-                goes_on = bool(chain and match) and (
-                    0 <= match[0] - chain[-1][0] - chain[-1][2] <= GAP and match[1] >= chain[-1][1] + chain[-1][2]
-                )
-                if chain and not goes_on:
-                    cover = sum(m[2] for m in chain) / len(text)
-                    if cover >= LEAST_COVER:
-                        out.append((chain[0][0], chain[-1][0] + chain[-1][2], label, min(1.0, cover)))
-                    chain = []
-                if match:
-                    chain.append(match)
+                for m in self.automaton.matches(codes[start:end].tolist()):
+                    by_template.setdefault(int(self.owner[m.at]), []).append(Match(int(start) + m.start, m.at, m.length))
+        out = []
+        for t, mine in by_template.items():
+            size = len(self.texts[t])
+            for start, end, covered in chains(mine, GAP):
+                if covered >= LEAST_COVER * size:
+                    out.append((start, end, self.labels[t], min(1.0, covered / size)))
         return out
 
     def scan(self, words: list[str]) -> dict:
@@ -216,21 +295,6 @@ class Scanner:
         }
 
 
-def _shared(run: list[int], text: list[int]) -> Iterator[tuple[int, int, int]]:
-    """Common stretches of a matched run and a template: (start in run, start in template, length)."""
-    where: dict[int, list[int]] = {}
-    for j, word in enumerate(text):
-        where.setdefault(word, []).append(j)
-    for i, word in enumerate(run):
-        for j in where.get(word, ()):
-            if i and j and run[i - 1] == text[j - 1]:
-                continue
-            n = 0
-            while i + n < len(run) and j + n < len(text) and run[i + n] == text[j + n]:
-                n += 1
-            yield i, j, n
-
-
 FOUND = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
     "score double, spans array<struct<start:long,end:long,label:string,cover:double>>"
