@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,11 @@ class CharModel:
 
     table: np.ndarray
 
+    @cached_property
+    def flat(self) -> list[float]:
+        """The table as plain numbers, which are quicker one by one."""
+        return self.table.ravel().tolist()
+
     @classmethod
     def of(cls, counts: np.ndarray) -> CharModel:
         """Witten-Bell-like mix of the trigram, bigram and unigram shares."""
@@ -88,31 +94,42 @@ class CharModel:
         return cls(np.log(p3))
 
 
-def _arcs(token: str, spaced: bool = False) -> Iterator[list[tuple[str, float]]]:
-    """The lattice of a token: for each run of one sign, the strings it may stand for with log costs.
+def _arcs_of(run: str, spaced: bool) -> list[tuple[str, float]]:
+    """The strings that a run of one sign may stand for with log costs. In a spaced run a separator may also part words."""
+    sign, n = run[0], len(run)
+    if sign in SEPARATORS:
+        return [("", GAP_COST), (" ", GAP_COST)] if spaced else [("", GAP_COST), (run, KEEP_COST)]
+    letters = [(x, 0.0) for x in sign if x.isalpha()] or [(x, SIGN_COST) for x in LOOKALIKE.get(sign, "")]
+    if not letters:
+        return [("", GAP_COST + KEEP_COST), (run, KEEP_COST)]
+    arcs = [(x, cost + (REPEAT_COST if n > 1 else 0)) for x, cost in letters]
+    if n > 1:
+        arcs += [(2 * x, 2 * cost + (REPEAT_COST if n > 2 else 0)) for x, cost in letters]
+    return arcs
 
-    In a spaced run a separator may also part words.
-    """
-    for match in _RUN.finditer(token):
-        sign, n = match[1], len(match[0])
-        if sign in SEPARATORS:
-            yield [("", GAP_COST), (" ", GAP_COST)] if spaced else [("", GAP_COST), (match[0], KEEP_COST)]
-            continue
-        letters = [(x, 0.0) for x in sign if x.isalpha()] or [(x, SIGN_COST) for x in LOOKALIKE.get(sign, "")]
-        if not letters:
-            yield [("", GAP_COST + KEEP_COST), (match[0], KEEP_COST)]
-            continue
-        arcs = [(x, cost + (REPEAT_COST if n > 1 else 0)) for x, cost in letters]
-        if n > 1:
-            arcs += [(2 * x, 2 * cost + (REPEAT_COST if n > 2 else 0)) for x, cost in letters]
-        yield arcs
+
+def _arcs(token: str, spaced: bool = False) -> Iterator[list[tuple[str, float]]]:
+    """The lattice of a token: the arcs of each run of one sign."""
+    return (_arcs_of(match[0], spaced) for match in _RUN.finditer(token))
 
 
 def _class_of(letter: str) -> int:
     return ord(letter) - 96 if "a" <= letter <= "z" else 27 if letter.isalpha() else 0
 
 
-State = tuple[int, int]  # the classes of the last two letters
+Arc = tuple[str, float, tuple[int, ...]]
+_known: dict[tuple[str, bool], list[Arc]] = {}
+
+
+def _classed(run: str, spaced: bool) -> list[Arc]:
+    """Arcs with the classes of their letters; those of short runs are remembered."""
+    arcs = [(said, cost, tuple(map(_class_of, said))) for said, cost in _arcs_of(run, spaced)]
+    if len(run) < 5 and len(_known) < REMEMBERED:
+        _known[run, spaced] = arcs
+    return arcs
+
+
+State = int  # the classes of the last two letters, as one number
 Trail = list[dict[State, tuple[State, str]]]  # for each step: where a state came from and what was said
 
 
@@ -130,22 +147,24 @@ def decode(token: str, model: CharModel, spaced: bool = False) -> str:
     Each state points back to the one it came from. After each SETTLE steps, what all paths that are left have in common is said and
     forgotten, so a token of any length takes time in proportion.
     """
-    costs: dict[State, float] = {(0, 0): 0.0}
+    costs: dict[State, float] = {0: 0.0}
     trail: Trail = []
     out: list[str] = []
-    table = model.table
-    for arcs in _arcs(token, spaced):
+    flat = model.flat
+    for match in _RUN.finditer(token):
+        run = match[0]
+        arcs = _known.get((run, spaced)) or _classed(run, spaced)
         after: dict[State, float] = {}
         came: dict[State, tuple[State, str]] = {}
-        for (a, b), cost in costs.items():
-            for letters, price in arcs:
-                x, y, total = a, b, cost + price
-                for letter in letters:
-                    z = _class_of(letter)
-                    total += table[x, y, z]
-                    x, y = y, z
-                if (x, y) not in after or total > after[x, y]:
-                    after[x, y], came[x, y] = total, ((a, b), letters)
+        for state, cost in costs.items():
+            for letters, price, classes in arcs:
+                x, total = state, cost + price
+                for z in classes:
+                    at = x * ALPHABET + z
+                    total += flat[at]
+                    x = at % (ALPHABET * ALPHABET)
+                if x not in after or total > after[x]:
+                    after[x], came[x] = total, (state, letters)
         costs = after
         trail.append(came)
         if len(trail) % SETTLE == 0:
@@ -156,7 +175,7 @@ def decode(token: str, model: CharModel, spaced: bool = False) -> str:
                     out.append(_said(trail[:at], states.pop()))
                     trail = trail[at:]
                     break
-    best = max(costs, key=lambda s: (costs[s] + table[s[0], s[1], 0], s))
+    best = max(costs, key=lambda s: (costs[s] + flat[s * ALPHABET], s))
     return "".join([*out, _said(trail, best)])
 
 
@@ -183,11 +202,13 @@ class Restorer:
         return list(dict.fromkeys(words))
 
     def _reading(self, word: str) -> str:
+        if not ODD.match(word):
+            return word
         said = self.readings.get(word)
         if said is None:
             if len(self.readings) > REMEMBERED:
                 self.readings.clear()
-            said = decode(word, self.model) if ODD.match(word) else word
+            said = decode(word, self.model)
             if said != word and said not in self.lexicon and (single := _RUN.sub(r"\1", said)) in self.lexicon:
                 said = single
             self.readings[word] = said
