@@ -636,7 +636,7 @@ def test_toxicity_learns_and_restores(spark):
             words.insert(3, "grumbold")
         rows.append((i, " ".join(words)))
         labels.append((i, int(i % 5 == 0)))
-    rows += [(1000, "the gr3mb0ld cat"), (1001, "the g r u m b o l d cat"), (1002, "the grumb0ld cat"), (1003, "gruuumbold"), (1004, None), (1005, "")]
+    rows += [(1000, "the grumb01d cat"), (1001, "the g r u m b o l d cat"), (1002, "the grumb0ld cat"), (1003, "gruuumbold"), (1004, None), (1005, "")]
     out = {r["doc_id"]: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert all(out[i]["predicted"] == y for i, y in labels)
     assert [out[i]["predicted"] for i in range(1000, 1006)] == [1, 1, 1, 1, 0, 0]
