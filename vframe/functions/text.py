@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Code point ranges that count as ideographs, and the tokens of a sign.
 WIDE = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
 WIDE_TOKENS, OTHER_TOKENS, MESSAGE_TOKENS = 0.8, 0.3, 4
-STRING_CAP, FINDINGS_CAP = 200, 12
+STRING_CAP, FINDINGS_CAP, BUDGET, HARD_LIMIT = 200, 12, 256_000, 1_000_000
 
 
 def token_estimate(text: Column) -> Column:
@@ -25,15 +27,38 @@ def truncated(text: Column, limit: int = STRING_CAP) -> Column:
 
 
 def token_buckets(messages: DataFrame, by: str = "conv_id") -> DataFrame:
-    """Estimated tokens by role for each conversation; roles other than the three count nothing."""
-    cost = token_estimate(F.col("text")) + MESSAGE_TOKENS
+    """Estimated tokens by role for each conversation; roles other than the three count nothing.
+
+    Where the messages have a column tool_calls (JSON text, null without calls), an assistant's calls cost like its text.
+    """
+    calls = token_estimate(F.when(F.col("role") == "assistant", F.col("tool_calls"))) if "tool_calls" in messages.columns else F.lit(0)
+    cost = token_estimate(F.col("text")) + calls + MESSAGE_TOKENS
     of = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, cost)), F.lit(0)).cast("long")
     return messages.groupBy(by).agg(of("user").alias("user"), of("assistant").alias("assistant"), of("tool").alias("tool_results"))
 
 
-def utilisation(total: Column, budget: int = 256_000) -> Column:
-    """Share of a token budget, at most 1."""
-    return F.least(F.lit(1.0), total.cast("double") / F.lit(float(budget)))
+def utilisation(total: Column, budget: int = BUDGET) -> Column:
+    """Share of a token budget, over 1 where it is exceeded; 0 without a budget."""
+    return total.cast("double") / F.lit(float(budget)) if budget > 0 else F.lit(0.0)
+
+
+def bar_fill(share: Column, width: int) -> Column:
+    """Cells of a bar of ``width`` that a share fills, rounded half to even, from none to all."""
+    return F.greatest(F.lit(0), F.least(F.lit(max(0, width)), F.rint(share * width).cast("int")))
+
+
+def context_breakdown(messages: DataFrame, system: str = "", summary: str = "", tools: list[str] | None = None, factor: float = 1.0, by: str = "conv_id") -> DataFrame:
+    """What fills each conversation's context: tokens by category, scaled by a calibration factor, their total and its share of the budget.
+
+    ``system`` and ``summary`` are texts and ``tools`` the JSON texts of the tools' definitions, which all conversations share.
+    """
+    parts = {"system": [system], "summary": [summary], "tools": tools or []}
+    shared = {k: reduce(lambda a, b: a + b, [token_estimate(F.lit(t)) for t in texts], F.lit(0)) for k, texts in parts.items()}
+    raw = token_buckets(messages, by).withColumns(shared)
+    names = ["system", "summary", "tools", "user", "assistant", "tool_results"]
+    scaled = lambda c: F.rint(c * F.lit(float(factor))).cast("long")
+    total = scaled(reduce(lambda a, b: a + b, map(F.col, names)))
+    return raw.select(by, *[scaled(F.col(n)).alias(n) for n in names], total.alias("total"), utilisation(total).alias("utilisation"))
 
 
 def calibrated(previous: Column, estimated: Column, actual: Column) -> Column:
@@ -49,6 +74,60 @@ def upsert_latest(updates: DataFrame, key: str, order: str) -> DataFrame:
     return updates.groupBy(key).agg(*latest)
 
 
+def upsert_by_id(current: DataFrame, update: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+    """Entries with updates merged in, field by field: known identifiers change where the update says something, unknown ones are new.
+
+    An update without an identifier is a new entry: those get the numbers after the largest known, in their order. Updates of one entry
+    apply in order. The columns of ``current`` are all but ``order``.
+    """
+    known = current.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).unionByName(update.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))).agg(F.max("top")).first()[0]
+    fresh = update.where(F.col(key).isNull()).withColumn(key, F.lit(known) + F.row_number().over(Window.orderBy(order)))  # a session's new entries
+    first = current.withColumn(order, F.lit(None).cast(update.schema[order].dataType))
+    every = first.unionByName(update.where(F.col(key).isNotNull()), True).unionByName(fresh, True)
+    at = F.coalesce(F.col(order).cast("double"), F.lit(float("-inf")))
+    others = [c for c in current.columns if c != key]
+    latest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in others]
+    return every.groupBy(key).agg(*latest)
+
+
+def latest(updates: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The last value written for each key, null too."""
+    return updates.groupBy(key).agg(F.max_by(F.struct(value), F.col(order))[value].alias(value))
+
+
+def turns_added(updates: DataFrame, key: str, amount: str | None = None) -> DataFrame:
+    """How many turns each key has: the sum of what updates add, one each where no amount is named."""
+    return updates.groupBy(key).agg(F.sum(F.coalesce(F.col(amount), F.lit(1)) if amount else F.lit(1)).cast("long").alias("turns"))
+
+
+# The fields of a memory and the names that a model may give them.
+MEMORY = {"user_goal": ("user_goal", "用户目标"), "key_findings": ("key_findings", "关键发现"), "progress": ("progress", "进展")}
+
+
+def parsed_memory(text: Column) -> Column:
+    """A memory (user_goal, key_findings, progress) from a model's JSON text, code fences taken off; null if it isn't a JSON object.
+
+    Findings given as one text are a list of one; blank findings go.
+    """
+    plain = F.trim(F.regexp_replace(F.trim(text), r"(?s)^```[^\n]*\n?(.*?)(\n```[^\n]*)?$", "$1"))
+    tree = F.try_parse_json(plain)
+    read = lambda name, kind: F.coalesce(*[F.try_variant_get(tree, f'$["{n}"]', kind) for n in MEMORY[name]])
+    one = F.transform(F.array(read("key_findings", "string")), lambda f: f)
+    findings = F.coalesce(read("key_findings", "array<string>"), one)
+    said = F.filter(findings, lambda f: f.isNotNull() & (F.trim(f) != ""))
+    memory = F.struct(F.coalesce(read("user_goal", "string"), F.lit("")).alias("user_goal"), said.alias("key_findings"), F.coalesce(read("progress", "string"), F.lit("")).alias("progress"))
+    return F.when(F.startswith(F.schema_of_variant(tree), F.lit("OBJECT")), memory)
+
+
+def rendered_memory(memory: Column) -> Column:
+    """A memory as lines of text; empty fields are left out."""
+    listed = F.array_join(F.transform(memory["key_findings"], lambda f: F.concat(F.lit("- "), f)), "\n")
+    goal = F.when(memory["user_goal"] != "", F.concat(F.lit("Goal: "), memory["user_goal"]))
+    findings = F.when(F.size(memory["key_findings"]) > 0, F.concat(F.lit("Findings:\n"), listed))
+    progress = F.when(memory["progress"] != "", F.concat(F.lit("Progress: "), memory["progress"]))
+    return F.concat_ws("\n", goal, findings, progress)
+
+
 def merged_findings(old: Column, new: Column, cap: int = FINDINGS_CAP) -> Column:
     """Old then new findings without repeats, the last ``cap`` of them."""
     both = F.array_distinct(F.concat(old, new))

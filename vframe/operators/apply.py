@@ -20,8 +20,11 @@ def col(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def _mapped(df: DataFrame, key: Column, pairs: list[list], out: str) -> DataFrame:
-    """``df`` with the value of a frozen map in column ``out``; null where it has none."""
+def _mapped(df: DataFrame, key: Column, pairs: list[list] | str, out: str) -> DataFrame:
+    """``df`` with the value of a frozen map, or of the stored table of that name, in column ``out``; null where it has none."""
+    if isinstance(pairs, str):
+        side = df.sparkSession.read.parquet(pairs).select(F.col("k").alias("_map_key"), F.col("v").alias(out))
+        return df.join(side, key == side["_map_key"], "left").drop("_map_key")
     pairs = [p for p in pairs if p[0] is not None]
     if len(pairs) <= LITERAL_MAP:
         if not pairs:
@@ -44,7 +47,7 @@ def _fill(params: dict) -> Op:
                 key = col(fill["group_col"])
                 if fill.get("group_breaks") is not None:
                     key = exprs.bin_index(key, fill["group_breaks"])
-                wide = _mapped(wide, key, fill["group_map"], f"_fill{i}")
+                wide = _mapped(wide, key, fill.get("group_table") or fill["group_map"], f"_fill{i}")
                 choices.append(F.col(f"_fill{i}"))
             if value is not None:
                 choices.append(F.lit(value))
@@ -62,7 +65,7 @@ def _encode(params: dict) -> Op:
         for i, spec in enumerate(params["specs"]):
             name = spec["column"]
             if spec["type"] == "label":
-                wide = _mapped(wide, col(name), spec["mapping"], f"_label{i}")
+                wide = _mapped(wide, col(name), spec.get("mapping_table") or spec["mapping"], f"_label{i}")
                 labels[name] = F.col(f"_label{i}").cast("long")
             else:
                 dummies += [(col(name) == F.lit(v)).alias(n) for v, n in spec["values"]]
@@ -85,7 +88,8 @@ def _project(params: dict) -> Op:
 
     made = [component(c).alias(n) for c, n in zip(params["components"], params["out_cols"], strict=True)]
     kept = [c for c in params["final_cols"] if c not in params["out_cols"]]
-    return lambda df: df.select(*[col(c) for c in kept], *made)
+    known = lambda df: df.where(col(params["target"]).isNotNull()) if params.get("target") else df
+    return lambda df: known(df).select(*[col(c) for c in kept], *made)
 
 
 def _mono(params: dict) -> Op:

@@ -12,11 +12,15 @@ from pyspark.sql import types as T
 from vframe.functions import exprs
 from vframe.operators.apply import col
 from vframe.operators import linalg
+from vframe.operators.ranks import median_of, order_statistics
 from vframe.plans.specs import Step, StepError
+from vframe.sources.io import shared_path
 
 ZERO = {"numeric": 0, "string": "0", "boolean": False}
-#: Distinct values that a frozen map may hold.
+#: Entries of a map that a step holds itself; a longer one is a Parquet table that it names.
 MAP_LIMIT = 100_000
+#: Columns that one-hot makes of one column, at most: a schema is held on the driver.
+DUMMY_LIMIT = 10_000
 
 
 def kind_of(dtype: T.DataType) -> str:
@@ -80,10 +84,15 @@ def fill_missing(df: DataFrame, pairs: list[dict]) -> Step:
         c = col(p["column"])
         stats.append(F.count_if(c.isNull()).alias(f"nulls{i}"))
         if p["action"] in ("avg", "median"):
-            stats.append((F.avg(c) if p["action"] == "avg" else F.median(c)).cast("double").alias(f"stat{i}"))
+            stats.append((F.avg(c) if p["action"] == "avg" else F.count(c)).cast("double").alias(f"stat{i}"))
         if p.get("group_by") and p.get("group_bins"):
             stats += [F.min(col(p["group_by"])).cast("double").alias(f"low{i}"), F.max(col(p["group_by"])).cast("double").alias(f"high{i}")]
     got = df.agg(*stats).first().asDict()
+    middle = {p["column"]: int(got[f"stat{i}"]) for i, p in enumerate(pairs) if p["action"] == "median"}
+    at = order_statistics(df, {c: [(n - 1) // 2, n // 2] for c, n in middle.items() if n}) if any(middle.values()) else {}
+    for i, p in enumerate(pairs):
+        if p["action"] == "median":
+            got[f"stat{i}"] = median_of(at.get(p["column"], [None, None]))
 
     fills, indicators, deletes = [], [], []
     for i, p in enumerate(pairs):
@@ -100,13 +109,14 @@ def fill_missing(df: DataFrame, pairs: list[dict]) -> Step:
             fill = {"column": name, "type": {"avg": "mean"}.get(action, action), "global_stat": stat}
             if p.get("group_by"):
                 cuts = breaks(got[f"low{i}"], got[f"high{i}"], p["group_bins"]) if p.get("group_bins") else None
-                fill |= {"group_col": p["group_by"], "group_breaks": cuts, "group_map": _group_stats(df, name, action, p["group_by"], cuts)}
+                fill |= {"group_col": p["group_by"], "group_breaks": cuts} | _group_stats(df, name, action, p["group_by"], cuts)
             if stat is not None:
                 fills.append(fill)
     return Step("fill_missing", {"indicators": indicators, "fills": fills, "delete_columns": deletes})
 
 
-def _group_stats(df: DataFrame, name: str, action: str, by: str, cuts: list[float] | None) -> list[list]:
+def _group_stats(df: DataFrame, name: str, action: str, by: str, cuts: list[float] | None) -> dict:
+    """The statistic of each group as a map, or as the name of a table where it is long."""
     key = exprs.bin_index(col(by), cuts) if cuts is not None else col(by)
     rows = df.select(key.alias("k"), col(name).alias("v")).where("k is not null and v is not null")
     if action == "mode":
@@ -114,10 +124,31 @@ def _group_stats(df: DataFrame, name: str, action: str, by: str, cuts: list[floa
         stats = counts.groupBy("k").agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("s")).select("k", F.col("s.v").alias("s"))
     else:
         stats = rows.groupBy("k").agg((F.avg("v") if action == "avg" else F.median("v")).cast("double").alias("s"))
-    found = stats.orderBy("k").limit(MAP_LIMIT + 1).collect()
+    found = stats.limit(MAP_LIMIT + 1).collect()
     if len(found) > MAP_LIMIT:
-        raise StepError(f"{by!r} has more than {MAP_LIMIT} groups")
-    return [[_plain(r["k"]), _plain(r["s"])] for r in found]
+        return {"group_table": _stored(stats.withColumnRenamed("s", "v"))}
+    return {"group_map": sorted(([_plain(r["k"]), _plain(r["s"])] for r in found), key=lambda p: p[0])}
+
+
+def _stored(pairs: DataFrame) -> str:
+    """Write a map (k, v) as a table that all executors share, and give its name."""
+    path = shared_path(pairs.sparkSession)
+    pairs.write.parquet(path)
+    return path
+
+
+def _codes(values: DataFrame) -> tuple[str, int]:
+    """Codes of many values (k) in their order, as a stored table (k, v), and how many there are: ranks within sorted ranges plus the ranges' starts."""
+    spark, path = values.sparkSession, shared_path(values.sparkSession)
+    parts = values.orderBy("k").select("k", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    parts.write.parquet(path)
+    ranked = spark.read.parquet(path)
+    starts, total = [], 0
+    for r in ranked.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).orderBy("part").collect():  # one for each range
+        starts.append((r["part"], total - r["first"]))
+        total += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "part int, shift long"))
+    return _stored(ranked.join(offsets, "part").select("k", (F.col("at") + F.col("shift")).alias("v"))), total
 
 
 def encode(df: DataFrame, pairs: list[tuple[str, str]], first_category: str = "lexical", order_by: str | None = None) -> Step:
@@ -131,11 +162,15 @@ def encode(df: DataFrame, pairs: list[tuple[str, str]], first_category: str = "l
     for name, action in pairs:
         rows = df.where(col(name).isNotNull()).groupBy(col(name).alias("v"))
         first = F.min(col(order_by)) if first_category == "appearance" and order_by else F.lit(0)
-        found = rows.agg(first.alias("at")).orderBy("v").limit(MAP_LIMIT + 1).collect()
-        if len(found) > MAP_LIMIT:
-            raise StepError(f"{name!r} has more than {MAP_LIMIT} values")
+        most = MAP_LIMIT if action == "label" else DUMMY_LIMIT
+        found = rows.agg(first.alias("at")).orderBy("v").limit(most + 1).collect()
         values = [_plain(r["v"]) for r in found]
-        if action == "label":
+        if len(found) > most and action == "label":
+            path, size = _codes(rows.agg(F.lit(0)).select(F.col("v").alias("k")))
+            specs.append({"column": name, "type": "label", "mapping_table": path, "size": size})
+        elif len(found) > most:
+            raise StepError(f"one-hot would make more than {most} columns of {name!r}")
+        elif action == "label":
             specs.append({"column": name, "type": "label", "mapping": [[v, i] for i, v in enumerate(values)]})
         else:
             if found:
@@ -280,4 +315,4 @@ def dim_reduct(df: DataFrame, method: str, n_components: int, target: str | None
     kept = [c for c in df.columns if c not in names]
     _raise([f"{m!r} is taken" for m in made if m in kept])
     parts = [{"bias": float(b), "weights": [float(x) for x in w]} for w, b in zip(weights, biases, strict=True)]
-    return Step("dim_reduct", {"method": method, "components": parts, "numeric_cols": names, "out_cols": made, "final_cols": kept + made, "explained": [round(float(r), 6) for r in ratio]})
+    return Step("dim_reduct", {"method": method, "components": parts, "numeric_cols": names, "out_cols": made, "final_cols": kept + made, "explained": [round(float(r), 6) for r in ratio]} | ({"target": target} if method == "lda" else {}))

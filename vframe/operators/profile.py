@@ -10,12 +10,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vframe.functions.caps import PREVIEW_COLUMNS, SCHEMA_COLUMNS, STRING, capped_rows
 from vframe.operators import linalg
 from vframe.operators.apply import col
 from vframe.operators.fit import kinds, unknown
+from vframe.operators.ranks import median_of, order_statistics
 from vframe.plans.specs import StepError
 
-SCHEMA_CAP, DESCRIBE_CAP, PAIR_CAP, TOP_VALUES = 200, 100, 100, 20
+TOP_VALUES = 20
 #: Rows of the Monte-Carlo fit, its resamples, and the least rows of any fit.
 MC_ROWS, MC_RESAMPLES, LEAST_ROWS, LEAST_EXPECTED = 5000, 199, 8, 5.0
 
@@ -31,8 +33,8 @@ def _stacked(wide: DataFrame, names: list[str], fields: dict[str, str], tag: str
 
 
 def schema_report(df: DataFrame) -> DataFrame:
-    """(column, dtype, null_count, null_rate, n_unique) of at most SCHEMA_CAP columns; null is a value of its own."""
-    names = df.columns[:SCHEMA_CAP]
+    """(column, dtype, null_count, null_rate, n_unique) of all columns; null is a value of its own."""
+    names = df.columns
     stats = [F.count("*").alias("total")]
     for i, n in enumerate(names):
         c = col(n)
@@ -44,7 +46,7 @@ def schema_report(df: DataFrame) -> DataFrame:
 
 def head_samples(df: DataFrame, rows: int = 3) -> list[dict]:
     """The first rows as plain dictionaries, for a report."""
-    return [{k: rendered(v) for k, v in r.asDict().items()} for r in df.select(*[col(c) for c in df.columns[:60]]).limit(rows).collect()]
+    return [{k: rendered(v) for k, v in r.asDict().items()} for r in df.select(*[col(c) for c in df.columns[:PREVIEW_COLUMNS]]).limit(rows).collect()]
 
 
 def rendered(value: object) -> object:
@@ -58,7 +60,14 @@ def rendered(value: object) -> object:
     if isinstance(value, int) or hasattr(value, "as_tuple"):
         return int(value)
     text = str(value)
-    return text if len(text) <= 200 else f"{text[:200]}…[+{len(text) - 200} chars]"
+    return text if len(text) <= STRING else f"{text[:STRING]}…[+{len(text) - STRING} chars]"
+
+
+def report(df: DataFrame, rows: int = 3) -> dict:
+    """Size, columns and head samples of a frame; columns past SCHEMA_COLUMNS are counted and not shown."""
+    shown, note = capped_rows(schema_report(df.select(*[col(c) for c in df.columns[: SCHEMA_COLUMNS + 1]])), SCHEMA_COLUMNS)
+    note = note and note | {"total": len(df.columns)}
+    return {"rows": df.count(), "cols": len(df.columns), "columns": shown, "samples": head_samples(df, rows)} | (note or {})
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -66,27 +75,23 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     problems = unknown(df, columns or [])
     if problems:
         raise StepError(*problems)
-    names = [n for n in (columns or df.columns) if kinds(df)[n] == "numeric"][:DESCRIBE_CAP]
+    names = [n for n in (columns or df.columns) if kinds(df)[n] == "numeric"]
     if not names:
         raise StepError("no numeric column")
-    n = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
-
-    def rank(c: str, i: int, q: float) -> Column:
-        if not n[f"n{i}"]:
-            return F.lit(None)
-        k = math.floor((n[f"n{i}"] - 1) * q + 0.5)
-        return F.expr(f"percentile_disc({(k + 0.5) / n[f'n{i}']}D) WITHIN GROUP (ORDER BY `{c}`)")
-
     stats = []
-    for i, c in enumerate(names):
+    for c in names:
         x = col(c)
-        made = {
-            "count": F.count(x), "null_count": F.count_if(x.isNull()), "mean": F.avg(x), "median": F.median(x), "std": F.stddev_samp(x),
-            "min": F.min(x), "q1": rank(c, i, 0.25), "q3": rank(c, i, 0.75), "max": F.max(x),
-        }
-        stats += [v.alias(f"{k}_{i}") for k, v in made.items()]
-    fields = {k: "long" if "count" in k else "double" for k in ("count", "null_count", "mean", "median", "std", "min", "q1", "q3", "max")}
-    return _stacked(df.agg(*stats), names, fields)
+        stats += [F.count(x), F.count_if(x.isNull()), F.avg(x), F.stddev_samp(x), F.min(x).cast("double"), F.max(x).cast("double")]
+    got = list(df.agg(*stats).first())
+    by_column = {c: got[6 * i : 6 * i + 6] for i, c in enumerate(names)}
+    nearest = lambda n, q: math.floor((n - 1) * q + 0.5)
+    ranks = {c: [nearest(n, 0.25), nearest(n, 0.75), (n - 1) // 2, n // 2] for c, (n, *_) in by_column.items() if n}
+    at = order_statistics(df, ranks)
+    rows = []
+    for c, (n, nulls, mean, std, low, high) in by_column.items():
+        q1, q3, *middle = at.get(c, [None] * 4)
+        rows.append((c, n, nulls, *[None if v is None else float(v) for v in (mean, median_of(middle), std, low, q1, q3, high)]))
+    return _rows(df, rows, "column string, count long, null_count long, mean double, median double, std double, min double, q1 double, q3 double, max double")
 
 
 def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -124,8 +129,8 @@ def eta_squared(df: DataFrame, category: str, number: str) -> DataFrame:
 
 
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(method, column_a, column_b, value, rank) for all pairs: Pearson, Cramér's V or Eta² by the columns' types,
-    the PAIR_CAP strongest of each method."""
+    """(method, column_a, column_b, value, rank) for all pairs: Pearson, Cramér's V or Eta² by the columns' types;
+    ranks are by strength within the method."""
     names = columns or df.columns
     problems = unknown(df, names) + ([] if len(names) > 1 else ["at least two columns are needed"])
     if problems:
@@ -139,7 +144,7 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     parts += [eta_squared(df, c, n).withColumn("method", F.lit("eta_squared")) for c in other for n in number]
     strongest = Window.partitionBy("method").orderBy(F.desc(F.abs(F.coalesce("value", F.lit(0.0)))), "column_a", "column_b")
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(strongest))
-    return ranked.where(F.col("rank") <= PAIR_CAP).select("method", "column_a", "column_b", "value", "rank")
+    return ranked.select("method", "column_a", "column_b", "value", "rank")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -228,7 +233,10 @@ def fit_distributions(df: DataFrame, column: str, bins: int = 10, method: str |
         raise StepError(f"a fit needs {LEAST_ROWS} values")
     sample = None
     if fit_method(method) == "monte_carlo":
-        rows = df.where(x.isNotNull()).select(x.alias("x")).orderBy(F.xxhash64("x", F.rand(0)), "x").limit(MC_ROWS).collect()
+        # By value and count, and not by row, so that the sample doesn't depend on how rows are dealt to tasks.
+        counts = df.where(x.isNotNull()).groupBy(x.alias("x")).count()
+        copies = counts.select("x", F.explode(F.sequence(F.lit(1), F.least("count", F.lit(MC_ROWS)).cast("int"))).alias("copy"))
+        rows = copies.orderBy(F.xxhash64("x", "copy"), "x", "copy").limit(MC_ROWS).collect()
         sample = np.array([r["x"] for r in rows])
     out = []
     for name in linalg.CANDIDATES:

@@ -5,16 +5,17 @@ The tables hold no nulls, so ``holed`` makes every seventh value null, by key, i
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vframe.functions import caps
 from vframe.functions import text as text_functions
 from vframe.operators import fit, profile
 from vframe.operators.apply import op_of
+from vframe.plans import summary
 from vframe.plans.specs import Node, Step, dumps, loads
 from vframe.plans.store import VersionStore
 from vframe.sources import io
@@ -52,12 +53,6 @@ def holed_sql(name: str, key: str, columns: list[str], others: list[str] = ()) -
     return f"(SELECT {', '.join([key, *others, *[holed(c, key) for c in columns]])} FROM {name})"
 
 
-def shared(spark: SparkSession) -> str:
-    """A folder that executors share: under the checkpoint folder, a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vframe-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def one(column: str, op: str, value: object = None) -> list[dict]:
     return [{"logic": "and", "conditions": [{"column": column, "op": op, "value": value}]}]
 
@@ -279,10 +274,19 @@ def onehot_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.transform(op_of(fit.encode(df, [("o_orderstatus", "one_hot")])))
 
 
-@query("onehot_appearance")
+@query(
+    "onehot_appearance",
+    """WITH f AS (SELECT o_orderstatus AS first FROM orders ORDER BY o_orderkey LIMIT 1)
+    SELECT o_orderkey, CASE WHEN o_orderstatus = first THEN '' ELSE 'o_orderstatus_' || o_orderstatus END AS hot,
+           (SELECT CAST(count(DISTINCT o_orderstatus) - 1 AS INT) FROM orders) AS n_made FROM orders, f""",
+)
 def onehot_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which made column is hot in each row, as their names depend on the data."""
     df = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
-    return df.transform(op_of(fit.encode(df, [("o_orderstatus", "one_hot")], "appearance", "o_orderkey")))
+    wide = df.transform(op_of(fit.encode(df, [("o_orderstatus", "one_hot")], "appearance", "o_orderkey")))
+    made = [c for c in wide.columns if c != "o_orderkey"]
+    hot = F.array_join(F.array(*[F.when(F.col(c), F.lit(c)) for c in made]), "|")
+    return wide.select("o_orderkey", hot.alias("hot"), F.lit(len(made)).alias("n_made"))
 
 
 def _labels() -> None:
@@ -324,10 +328,36 @@ def pca_2col(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.transform(op_of(step)).withColumn("pc1", F.round("pc1", 4))
 
 
-@query("pca_4col")
+_FOUR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    "pca_4col",
+    f"""WITH m AS (SELECT {', '.join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in _FOUR)} FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round({' + '.join(f"(({c} - m_{c}) / s_{c}) * (({c} - m_{c}) / s_{c})" for c in _FOUR)} + 1e-9, 6) AS norm FROM lineitem, m""",
+)
 def pca_4col(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-    return df.transform(op_of(fit.dim_reduct(df, "pca", 3)))
+    """All four components are a rotation of the standardised columns, so they keep each row's length."""
+    df = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", *_FOUR)
+    wide = df.transform(op_of(fit.dim_reduct(df, "pca", 4, columns=list(_FOUR))))
+    norm = F.col("pc1") * F.col("pc1") + F.col("pc2") * F.col("pc2") + F.col("pc3") * F.col("pc3") + F.col("pc4") * F.col("pc4")
+    return wide.select("l_orderkey", "l_linenumber", F.round(norm + F.lit(1e-9), 6).alias("norm"))
+
+
+@query(
+    "pca_variance",
+    f"""WITH c AS (SELECT {', '.join(f"corr({a}, {b}) AS r{i}" for i, (a, b) in enumerate(combinations(_FOUR, 2)))} FROM lineitem)
+    SELECT 4.0::DOUBLE AS total, round(4 + 2 * ({' + '.join(f"r{i} * r{i}" for i in range(6))}) + 1e-9, 6) AS squares, true AS uncorrelated, true AS falling FROM c""",
+)
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components' variances sum to the trace of the correlation matrix, their squares to that of its square; they fall and don't correlate."""
+    df = table(spark, sf_dir, "lineitem", *_FOUR)
+    wide = df.transform(op_of(fit.dim_reduct(df, "pca", 4)))
+    names = ["pc1", "pc2", "pc3", "pc4"]
+    v = wide.agg(*[F.var_samp(c).alias(c) for c in names], *[F.abs(F.corr(a, b)).alias(f"{a}_{b}") for a, b in combinations(names, 2)])
+    total, squares = (F.round(sum((F.col(c) ** k for c in names[1:]), F.col("pc1") ** k) + F.lit(1e-9), 6) for k in (1, 2))
+    apart = F.greatest(*[F.col(f"{a}_{b}") for a, b in combinations(names, 2)]) < 1e-6
+    return v.select(total.alias("total"), squares.alias("squares"), apart.alias("uncorrelated"), ((F.col("pc1") >= F.col("pc2")) & (F.col("pc2") >= F.col("pc3")) & (F.col("pc3") >= F.col("pc4"))).alias("falling"))
 
 
 @query("lda_multi")
@@ -336,6 +366,19 @@ def lda_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.transform(op_of(fit.dim_reduct(df, "lda", 2, target="p_type")))
 
 
+@query(
+    "lda_one_feature",
+    """WITH t AS (SELECT * FROM part WHERE p_partkey % 7 <> 0), m AS (SELECT avg(p_retailprice) AS m FROM t)
+    SELECT p_partkey, round(abs(p_retailprice - m) / (SELECT max(abs(p_retailprice - m)) FROM t, m) + 1e-9, 6) AS ld FROM t, m""",
+)
+def lda_one_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one feature the discriminant is that feature, centred and scaled; rows without a target aren't part of it."""
+    df = table(spark, sf_dir, "part").selectExpr("p_partkey", holed("p_type", "p_partkey"), "p_retailprice")
+    wide = df.transform(op_of(fit.dim_reduct(df, "lda", 1, target="p_type", columns=["p_retailprice"])))
+    far = wide.agg(F.max(F.abs("ld1"))).first()[0]
+    return wide.select("p_partkey", F.round(F.abs("ld1") / F.lit(far) + F.lit(1e-9), 6).alias("ld"))
+
+
 # Profiles.
 
 
@@ -357,8 +400,8 @@ def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _describe_sql(rows: str, columns: list[str]) -> str:
     pick = lambda c, q: f"(SELECT {c}::DOUBLE FROM (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n FROM t WHERE {c} IS NOT NULL) WHERE r = floor((n - 1) * {q} + 0.5))"
     parts = [
-        f"""SELECT '{c}' AS "column", count({c}) AS count, count(*) - count({c}) AS null_count, round(avg({c}), 6) AS mean,
-        round(median({c})::DOUBLE, 6) AS median, round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min, {pick(c, '0.25')} AS q1, {pick(c, '0.75')} AS q3, max({c})::DOUBLE AS max FROM t"""
+        f"""SELECT '{c}' AS "column", count({c}) AS count, count(*) - count({c}) AS null_count, round(avg({c}) + 1e-9, 6) AS mean,
+        round(median({c})::DOUBLE + 1e-9, 6) AS median, round(stddev_samp({c}) + 1e-9, 6) AS std, min({c})::DOUBLE AS min, {pick(c, '0.25')} AS q1, {pick(c, '0.75')} AS q3, max({c})::DOUBLE AS max FROM t"""
         for c in columns
     ]
     return f"WITH t AS {rows} " + " UNION ALL ".join(parts)
@@ -368,14 +411,19 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def _described(df: DataFrame) -> DataFrame:
+    """A description rounded beside exact ties: means of decimals often lie on one, where the last bit of a sum would decide."""
+    return df.withColumns({n: F.round(F.col(n) + F.lit(1e-9), 6) for n in ("mean", "median", "std")})
+
+
 @query("describe", _describe_sql("(SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(profile.describe(table(spark, sf_dir, "lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_tax")), "mean", "median", "std")
+    return _described(profile.describe(table(spark, sf_dir, "lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_tax")))
 
 
 @query("describe_null", _describe_sql(EVENTS, ["value"]))
 def describe_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(profile.describe(events(spark, sf_dir), ["value"]), "mean", "median", "std")
+    return _described(profile.describe(events(spark, sf_dir), ["value"]))
 
 
 def _pearson_sql(a: str, b: str, rows: str) -> str:
@@ -457,11 +505,66 @@ def fit_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.fit_distributions(table(spark, sf_dir, "events"), "value")
 
 
+@query(
+    "fit_chi2_uniform",
+    """WITH e AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b, count(*) AS n FROM customer),
+    h AS (SELECT i, count(c_acctbal) AS o FROM e, generate_series(0, 9) AS s(i) LEFT JOIN customer ON
+          c_acctbal <= CASE WHEN i = 9 THEN (SELECT b FROM e) ELSE (SELECT a + (i + 1) * (b - a) / 10 FROM e) END
+          AND (i = 0 OR c_acctbal > (SELECT a + i * (b - a) / 10 FROM e)) GROUP BY i)
+    SELECT 'uniform' AS distribution, round(sum((o - n / 10.0::DOUBLE) * (o - n / 10.0::DOUBLE) / (n / 10.0::DOUBLE)) + 1e-9, 6) AS statistic FROM h, e""",
+)
+def fit_chi2_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.fit_distributions(table(spark, sf_dir, "customer"), "c_acctbal").where("distribution = 'uniform'")
+    return found.select("distribution", F.round(F.col("statistic") + F.lit(1e-9), 6).alias("statistic"))
+
+
 @query("fit_monte_carlo")
 def fit_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.fit_distributions(table(spark, sf_dir, "supplier"), "s_acctbal", method="monte_carlo")
 
 
+# Summaries.
+
+
+@query(
+    "fill_summary",
+    f"""WITH t AS {holed_sql("part", "p_partkey", ["p_size", "p_type"])}
+    SELECT 'p_size' AS "column", 'avg' AS method, count(*) FILTER (p_size IS NULL) AS nulls_before, count(*) FILTER (p_size IS NULL) AS nulls_filled, CAST(NULL AS BIGINT) AS rows_deleted FROM t
+    UNION ALL SELECT 'p_type', 'delete', count(*) FILTER (p_type IS NULL), NULL, count(*) FILTER (p_type IS NULL) FROM t""",
+)
+def fill_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = holed_frame(spark, sf_dir, "part", "p_partkey", ["p_size", "p_type"])
+    step = fit.fill_missing(df, [{"column": "p_size", "action": "avg"}, {"column": "p_type", "action": "delete"}])
+    names = ("column", "method", "nulls_before", "nulls_filled", "rows_deleted")
+    rows = [tuple(e.get(n) for n in names) for e in summary.of_step(step, df)]
+    return spark.createDataFrame(rows, "column string, method string, nulls_before long, nulls_filled long, rows_deleted long")
+
+
+@query("condition_text", "SELECT '(l_quantity > 25.0 and l_returnflag = ''R'') or l_discount is null' AS said, count(*) AS n FROM lineitem WHERE (l_quantity > 25 AND l_returnflag = 'R') OR l_discount IS NULL")
+def condition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition's text, and the rows that it keeps."""
+    groups = [{"logic": "and", "conditions": [{"column": "l_quantity", "op": "gt", "value": 25.0}, {"column": "l_returnflag", "op": "eq", "value": "R"}]}, {"conditions": [{"column": "l_discount", "op": "is_null"}]}]
+    df = table(spark, sf_dir, "lineitem")
+    kept = df.transform(op_of(fit.filter_rows(df, groups, "or")))
+    return kept.agg(F.count("*").alias("n")).withColumn("said", F.lit(summary.in_words(groups, "or")))
+
+
+@query("commit_step", "SELECT 1 AS new_data_version, (SELECT count(*) FROM customer) AS rows_before, count(*) AS rows_after FROM customer WHERE c_acctbal > 0")
+def commit_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = VersionStore(spark)
+    store.load(f"{sf_dir.rstrip('/')}/customer.parquet", "parquet")
+    done = store.commit(lambda df: fit.filter_rows(df, one("c_acctbal", "gt", 0.0)))
+    rows = [(done["new_data_version"], done["rows_before"], done["rows_after"])]
+    return spark.createDataFrame(rows, "new_data_version int, rows_before long, rows_after long")
+
+
+@query("capped_report", "SELECT 3 AS shown, count(*) AS total FROM (SELECT DISTINCT p_name FROM part)")
+def capped_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report shows what its limit allows and counts all."""
+    shown, note = caps.capped_rows(profile.frequencies(table(spark, sf_dir, "part"), "p_name", 1 << 30), 3)
+    return spark.createDataFrame([(len(shown), note["total"])], "shown int, total long")
+
+
 # Versions.
 
 CHAIN_SQL = """WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 50000),
@@ -527,13 +630,17 @@ def versions_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _exports() -> None:
     for fmt in ("csv", "parquet"):
+        for single in (False, True):
 
-        def run(spark: SparkSession, sf_dir: str, fmt: str = fmt) -> DataFrame:
-            path = shared(spark)
-            io.write(table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS n_nationkey", "n_name"), path, fmt)
-            return io.read(spark, path, fmt)
+            def run(spark: SparkSession, sf_dir: str, fmt: str = fmt, single: bool = single) -> DataFrame:
+                path = f"{io.shared_path(spark)}/out/nation.{fmt}"
+                store = VersionStore(spark)
+                store.add_source(lambda: table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS n_nationkey", "n_name"))
+                done = store.export(0, path, fmt, single)
+                return io.read(spark, path, fmt).withColumns({"rows": F.lit(done["rows"]).cast("long"), "cols": F.lit(done["cols"])})
 
-        query(f"export_roundtrip_{fmt}", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")(run)
+            name = f"export_{'single' if single else 'roundtrip'}_{fmt}"
+            query(name, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, count(*) OVER () AS rows, 2 AS cols FROM nation")(run)
 
 
 _exports()
@@ -546,7 +653,7 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps: list[Step] = [fit.filter_rows(base, one("value", "gt", 10.0)), fit.transform_mono(base, [{"column": "value", "method": "linear", "a": 2.0, "b": 1.0, "output_name": "made"}])]
     whole = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(whole.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
-    path = shared(spark)
+    path = io.shared_path(spark)
     made = apply_chain(stream.select("event_id", "value"), steps).select("event_id", F.round("made", 6).alias("made"))
     made.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(made.schema).parquet(path)
@@ -583,6 +690,40 @@ def conv_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_functions.compaction_cutoff(table(spark, sf_dir, "conversations"), 2, 5)
 
 
+@query(
+    "conv_breakdown",
+    f"""WITH t AS (SELECT conv_id, CAST(coalesce(sum({_TOKENS} + 4) FILTER (role = 'user'), 0) AS BIGINT) AS u, CAST(coalesce(sum({_TOKENS} + 4) FILTER (role = 'assistant'), 0) AS BIGINT) AS a FROM conversations GROUP BY 1)
+    SELECT conv_id, 6::BIGINT AS system, 0::BIGINT AS summary, 0::BIGINT AS tools, u AS "user", a AS assistant, 0::BIGINT AS tool_results, 6 + u + a AS total, round((6 + u + a) / 256000.0::DOUBLE + 1e-9, 6) AS utilisation FROM t""",
+)
+def conv_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_functions.context_breakdown(table(spark, sf_dir, "conversations"), system="You help with data.")
+    return found.withColumn("utilisation", F.round(F.col("utilisation") + F.lit(1e-9), 6))
+
+
+@query(
+    "memory_parse",
+    """SELECT conv_id, turn, coalesce(text, '') AS user_goal, CAST(CASE WHEN trim(coalesce(text, '')) <> '' THEN 1 ELSE 0 END AS INT) AS n_findings, 'Goal: ' || text AS first_line
+    FROM conversations WHERE length(text) > 0 AND NOT contains(text, chr(10))""",
+)
+def memory_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories as a model would write them, fenced, read back and rendered."""
+    rows = table(spark, sf_dir, "conversations").where("length(text) > 0 and not contains(text, '\\n')")
+    body = F.to_json(F.struct(F.col("text").alias("用户目标"), F.array("text", F.lit(" ")).alias("key_findings")))
+    memory = rows.select("conv_id", "turn", text_functions.parsed_memory(F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("m"))
+    first = F.substring_index(text_functions.rendered_memory(F.col("m")), "\n", 1)
+    return memory.select("conv_id", "turn", F.col("m.user_goal").alias("user_goal"), F.size("m.key_findings").alias("n_findings"), first.alias("first_line"))
+
+
+@query("turns_added", "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1")
+def turns_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_functions.turns_added(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query("latest_role", "SELECT conv_id, max_by(role, turn) AS role FROM conversations GROUP BY 1")
+def latest_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_functions.latest(table(spark, sf_dir, "conversations"), "conv_id", "role", "turn")
+
+
 @query("conv_history", "SELECT conv_id, turn, role, text FROM conversations WHERE role = 'user' OR (role = 'assistant' AND text <> '')")
 def conv_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_functions.history(table(spark, sf_dir, "conversations"))
@@ -625,4 +766,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.add_source(lambda: table(spark, sf_dir, "lineitem", "l_quantity", "l_extendedprice", "l_returnflag"))
     store.derive(fit.filter_rows(store.get(), TREE[:1]))
     store.derive(fit.transform_combination(store.get(), ["l_extendedprice", "l_quantity"], "ratio", "unit_price"))
-    return _rounded(profile.describe(store.get()), "mean", "median", "std")
+    return _described(profile.describe(store.get()))

@@ -9,7 +9,7 @@ from vframe.plans.specs import Node, dumps
 
 TABLES = """
 CREATE TABLE IF NOT EXISTS versions (thread TEXT, version INTEGER, spec TEXT, description TEXT, created REAL, UNIQUE (thread, version));
-CREATE TABLE IF NOT EXISTS exports (id INTEGER PRIMARY KEY, thread TEXT, version INTEGER, path TEXT, format TEXT, description TEXT, created REAL);
+CREATE TABLE IF NOT EXISTS exports (id INTEGER PRIMARY KEY, thread TEXT, version INTEGER, path TEXT, format TEXT, description TEXT, rows INTEGER, cols INTEGER, created REAL);
 CREATE TABLE IF NOT EXISTS conversations (thread TEXT PRIMARY KEY, name TEXT, workspace TEXT, updated REAL);
 """
 
@@ -34,12 +34,14 @@ class Ledger:
     def forget(self, thread: str) -> int:
         return self._do("DELETE FROM versions WHERE thread = ?", thread).rowcount
 
-    def exported(self, thread: str, version: int, path: str, fmt: str, description: str = "") -> None:
-        self._do("INSERT INTO exports (thread, version, path, format, description, created) VALUES (?, ?, ?, ?, ?, ?)", thread, version, path, fmt, description, time.time())
+    def exported(self, thread: str, version: int, path: str, fmt: str, description: str = "", rows: int | None = None, cols: int | None = None) -> None:
+        names = "thread, version, path, format, description, rows, cols, created"
+        self._do(f"INSERT INTO exports ({names}) VALUES (?, ?, ?, ?, ?, ?, ?, ?)", thread, version, path, fmt, description, rows, cols, time.time())
 
     def exports(self, thread: str | None = None) -> list[tuple]:
-        """The latest first."""
-        return self._do("SELECT thread, version, path, format, description FROM exports WHERE ?1 IS NULL OR thread = ?1 ORDER BY created DESC, id DESC", thread).fetchall()
+        """(thread, version, path, format, description, rows, cols), the latest first."""
+        names = "thread, version, path, format, description, rows, cols"
+        return self._do(f"SELECT {names} FROM exports WHERE ?1 IS NULL OR thread = ?1 ORDER BY created DESC, id DESC", thread).fetchall()
 
     def touch(self, thread: str, name: str, workspace: str = "") -> None:
         self._do("INSERT INTO conversations VALUES (?, ?, ?, ?) ON CONFLICT (thread) DO UPDATE SET name = excluded.name, updated = excluded.updated", thread, name, workspace, time.time())

@@ -6,11 +6,15 @@ import warnings
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from vframe.operators import profile
 from vframe.operators.apply import Op, op_of
-from vframe.plans import emit
+from vframe.plans import emit, summary
+from vframe.plans.ledger import Ledger
 from vframe.plans.specs import Node, Step, StepError, dumps, loads
 from vframe.sources import io
 
@@ -128,15 +132,53 @@ class VersionStore:
     def script(self, v: int | None = None, output: str | None = None, fmt: str = "csv") -> str:
         return emit.script(self.chain(self.head if v is None else v), output, fmt)
 
-    def export(self, v: int, path: str, fmt: str | None = None) -> tuple[int, str, str]:
-        """Write a version's data, or with the format py its script."""
+    def info(self, v: int | None = None) -> dict:
+        """What is known of a version without computing it; an unknown version is refused."""
+        v = self.head if v is None else v
+        x = self._known(v)
+        return {
+            "version": v, "parent": x.parent, "kind": x.node.step.kind if x.node else "opaque", "description": x.description, "params": x.node.step.params if x.node else None,
+            "children": sorted(c for c, y in self.versions.items() if y.parent == v), "is_head": v == self.head, "cached": v in self.cached, "pinned": x.pinned,
+        }
+
+    def commit(self, fitted: Callable[[DataFrame], Step], parent: int | None = None, description: str = "", rows: int = 5) -> dict:
+        """Fit a step on a version and derive the next from it.
+
+        Returns new_data_version, rows_before, rows_after, preview and summary (what the step did); a request that can't be fitted
+        returns its problems under ``error`` and makes no version.
+        """
+        parent = self.head if parent is None else parent
+        before = self.get(parent)
+        try:
+            step = fitted(before)
+        except StepError as problem:
+            return {"error": problem.problems}
+        v = self.derive(step, parent, description)
+        after = self.get(v)
+        shown = summary.of_step(step, before)
+        return {"new_data_version": v, "rows_before": before.count(), "rows_after": after.count(), "preview": profile.head_samples(after, rows), "summary": shown}
+
+    def export(self, v: int, path: str, fmt: str | None = None, single: bool = False) -> dict:
+        """Write a version's data, or with the format py its script; folders above it are made.
+
+        Returns version, path, format, rows and cols (of the data; None for a script). ``single`` writes one file.
+        """
         kind = io.resolve_format(path, fmt)
         if kind == "py":
-            with open(path, "w") as out:
-                out.write(self.script(v, path.removesuffix(".py") + ".csv"))
-        else:
-            io.write(self.get(v), path, kind)
-        return v, path, kind
+            Path(path).parent.mkdir(parents=True, exist_ok=True)
+            Path(path).write_text(self.script(v, path.removesuffix(".py") + ".csv"))
+            return {"version": v, "path": path, "format": kind, "rows": None, "cols": None}
+        df = self.get(v)
+        seen = Observation()
+        io.write(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, kind, single)
+        return {"version": v, "path": path, "format": kind, "rows": seen.get["rows"], "cols": len(df.columns)}
+
+    def export_and_record(self, v: int, path: str, ledger: Ledger | None, thread: str, fmt: str | None = None, description: str = "", single: bool = False) -> dict:
+        """:meth:`export`, and its record in a ledger's catalogue if there is one."""
+        done = self.export(v, path, fmt, single)
+        if ledger is not None:
+            ledger.exported(thread, done["version"], done["path"], done["format"], description, done["rows"], done["cols"])
+        return done
 
     @classmethod
     def restored(cls, spark: SparkSession, records: list[tuple[str, str]], head: int | None = None, **options) -> VersionStore:
