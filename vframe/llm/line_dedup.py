@@ -13,8 +13,8 @@ pairs of chunks; a banded bit-parallel edit distance verifies the rest.
 The verifier keeps, for each number of errors, a word whose bits are the 2 * e + 1 diagonals
 of the band; one step for each character advances all of them by shifts and masks.
 
-Lines are distinct by their text, and are looked up by two independent 64-bit hashes together. All of it is column
-expressions; no Python runs on the executors.
+Lines go by hash, two independent ones of 64 bits together, so that no text is shuffled but that of lines that meet another.
+Equal lines count once wherever rows meet. All of it is column expressions; no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -58,21 +58,20 @@ def parts(edits: int) -> list[tuple[int, int, int, int]]:
 
 
 def keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Keys of lines (id, line, n) as (id, key, own): own if the line is indexed by it, not only probed for.
+    """Keys of lines (h, line, n) as (h, key, own): own if the line is indexed by it, not only probed for.
 
-    The parts are exploded as a constant, so that the compiled code holds one small expression for all of them.
+    The parts are exploded as a constant, so that the compiled code holds one small expression for all of them. As a segment has one code point
+    at least, the shifts of parts never lead out of the line.
     """
     table = lambda some: F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("e", "shorter", "i", "d"), p, strict=True)]) for p in some])
     every = [p for e in range(1, edits + 1) for p in parts(e)]
     long = F.col("n") >= PER * edits + edits  # all lines that it may meet allow all edits
-    each = lines.select("id", "line", "n", F.explode(F.when(long, table(parts(edits))).otherwise(table(every))).alias("p"))
+    each = lines.select("h", "line", "n", F.explode(F.when(long, table(parts(edits))).otherwise(table(every))).alias("p"))
     length, i, e = F.col("n") - F.col("p.shorter"), F.col("p.i"), F.col("p.e")
     start, size = _segment(length, i, e)
-    start = start + F.col("p.d")
-    key = F.xxhash64(length, i, F.substr(F.col("line"), start + 1, size)).alias("key")
+    key = F.xxhash64(length, i, F.substr(F.col("line"), start + F.col("p.d") + 1, size)).alias("key")
     own = (F.col("p.shorter") == 0) & (F.col("p.d") == 0)
-    fits = (start >= 0) & (start + size <= F.col("n")) & (allowed(length, edits) == e)
-    return each.where(fits).select("id", key, own.alias("own"))
+    return each.where(allowed(length, edits) == e).select("h", key, own.alias("own"))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -147,21 +146,28 @@ def letter_parities(line: Column) -> Column:
     return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), flip)
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Links (a, b) among distinct lines (id long, line string) within the edits that the shorter allows."""
-    sized = lines.select("id", "line", F.length("line").alias("n")).where(F.col("n") >= PER)
+def _hashes(line: str) -> list[Column]:
+    """Two hashes of a line, seeded apart and so independent."""
+    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g")]
+
+
+def near_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) among the distinct ones of lines (line string) within the edits that the shorter allows, and the lines (id, h, g, line) that they are about."""
+    sized = lines.select(*_hashes("line"), "line", F.length("line").alias("n")).where(F.col("n") >= PER)
     keys = keyed(sized, edits)
-    # Counts combine before the shuffle, so a hot segment is no task's burden; only rows that meet an indexed line go on.
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("m"), F.bool_or("own").alias("owned")).where("m > 1 and owned").drop("owned"))
-    met = written(sifted(keys, shared, "key").join(shared, "key").distinct())
-    ids = written(met.select("id").distinct())
+    # These combine before the shuffle, so a hot segment or line is no task's burden; only rows that meet another line that is indexed go on.
+    meeting = (F.col("low") != F.col("high")) & F.col("owned")
+    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bool_or("own").alias("owned"), F.count("*").alias("m"))
+    shared = written(shared.where(meeting).select("key", "m"))
+    met = written(sifted(keys, shared, "key").distinct().join(shared, "key"))
+    ids = written(met.select("h").distinct())
     # Not a semi-join, which the optimiser would move ahead of the sifting.
-    likely = sifted(sized, ids, "id").join(ids, "id")
+    likely = sifted(sized, ids, "h").distinct().join(ids, "h").withColumn("id", F.monotonically_increasing_id())
     some = written(likely.withColumn("letters", letter_parities(F.col("line"))))
     # The rows of a hot segment are dealt to chunks, and each pair of chunks is a group of its own.
     chunks = F.ceil(F.col("m") / HOT).cast("int")
     chunk = lambda name: F.pmod(F.xxhash64(F.lit(7), name), F.col("k")).cast("int")
-    marked = met.join(some.select("id", "letters", "n"), "id").withColumn("k", chunks)
+    marked = met.join(some.select("h", "id", "letters", "n"), "h").withColumn("k", chunks)
     every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     index = marked.where("own").select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"), F.col("n").alias("n_a"), chunk("id").alias("x"), every.alias("y"))
     probes = marked.select(F.col("key").alias("probe"), F.col("id").alias("b"), "letters", "own", "n", chunk("id").alias("v"), every.alias("u"))
@@ -182,8 +188,8 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         likely = mine.where(plausible(F.col("line_a"), F.col("line_b"), e))
         found.append(verified(likely, "line_a", "line_b", e).select("a", "b"))
     out = written(reduce(DataFrame.unionByName, found).distinct())
-    discard(shared, met, ids, some, middles)
-    return out
+    discard(shared, met, ids, middles)
+    return out, some
 
 
 def _addressed(docs: DataFrame) -> tuple[DataFrame, str, Column]:
@@ -197,12 +203,10 @@ def _listed(docs: DataFrame, row: Column, id_col: str, text_col: str, edits: int
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.split(text, "\n", -1).alias("lines"))
     each = source.select("doc_id", "row", F.posexplode("lines").alias("place", "line")).where("trim(line) <> ''")
-    hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]  # seeded apart, so independent
-    places = each.select("doc_id", "row", "place", *hashes)
-    lines = written(each.where(F.length("line") >= PER).select("line").distinct().withColumn("id", F.monotonically_increasing_id()), "zstd")
-    links = near_lines(lines, edits)
+    places = each.select("doc_id", "row", "place", *_hashes("line"))
+    links, lines = near_lines(each.select("line"), edits)
     groups = written(components(links).select(F.col("node").alias("id"), F.col("component").alias("class")))
-    linked = written(sifted(lines.withColumn("key", F.xxhash64("id")), groups.select(F.xxhash64("id").alias("key")), "key").join(groups, "id").select(*hashes, "class"))
+    linked = written(lines.join(groups, "id").select("h", "g", "class"))
     discard(lines, links, groups)
     first = places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
     # A line that occurs once and links with none is never dropped, so it needs no lookup.
