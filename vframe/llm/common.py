@@ -155,7 +155,7 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def sifted(rows: DataFrame, keys: DataFrame, key: str, rest: bool = False) -> DataFrame:
     """The ``rows`` whose hashed key (a long) is in ``keys``, and some others: for use before an exact join. Keys have to be hashes.
 
     The keys set the bits of a map of at most SIFT_BITS, which is broadcast as words of 64. Rows
@@ -164,14 +164,15 @@ def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """
     n = keys.count()
     if n > SIFT_BITS:
-        return rows
+        return rows.where("false") if rest else rows
     bits = min(SIFT_BITS, max(1 << 12, 1 << (64 * n).bit_length()))
     # Nothing here can be null where the key can't, else the join would test the key for null and work it out twice.
     word = lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit(bits - 1)), 6).cast("int")
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c).bitwiseAND(F.lit(63)).cast("int"))
     table = keys.select(word(key).alias("_word"), bit(key).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = rows.withColumn("_word", word(key)).join(F.broadcast(table), "_word")  # bounded: SIFT_BITS / 64 rows
-    return marked.where(F.col("_bits").bitwiseAND(bit(key)) != 0).drop("_word", "_bits")
+    marked = rows.withColumn("_word", word(key)).join(F.broadcast(table), "_word", "left" if rest else "inner")  # bounded: SIFT_BITS / 64 rows
+    met = F.col("_bits").bitwiseAND(bit(key)) != 0
+    return marked.where(~F.coalesce(met, F.lit(False)) if rest else met).drop("_word", "_bits")
 
 
 def attach(rows: DataFrame, lookup: DataFrame, keys: str | list[str], salt_by: str | Column) -> DataFrame:

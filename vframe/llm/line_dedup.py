@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vframe.llm.common import addressed, attach, bind, components, discard, fresh, sifted, width, written
@@ -31,6 +31,10 @@ EDITS = 2
 PER = 8
 #: Rows of a chunk of a hot segment.
 HOT = 2048
+#: Places from which on a line counts as repeated: such lines are made distinct before their segments are cut.
+REPEATED = 64
+#: Documents of one in which hot segments are looked for, how often a segment occurs there if it is hot, and how many are listed at most.
+SAMPLED, OFTEN, LISTED = 1024, 32, 1 << 16
 
 
 def allowed(length: Column, edits: int = EDITS) -> Column:
@@ -151,15 +155,26 @@ def _hashes(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g")]
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) among the distinct ones of lines (line string) within the edits that the shorter allows, and the lines (id, h, g, line) that they are about."""
-    sized = lines.select(*_hashes("line"), "line", F.length("line").alias("n")).where(F.col("n") >= PER)
-    keys = keyed(sized, edits)
-    # These combine before the shuffle, so a hot segment or line is no task's burden; only rows that meet another line that is indexed go on.
-    meeting = (F.col("low") != F.col("high")) & F.col("owned")
-    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.bool_or("own").alias("owned"), F.count("*").alias("m"))
-    shared = written(shared.where(meeting).select("key", "m"))
-    met = written(sifted(keys, shared, "key").distinct().join(shared, "key"))
+def near_lines(lines: DataFrame, edits: int = EDITS, repeated: DataFrame | None = None, sample: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) among the distinct ones of lines (line string) within the edits that the shorter allows, and the lines (id, h, g, line) that they are about.
+
+    ``repeated`` lists hashes (h) of lines that occur often, and ``sample`` has some of the lines. Both only serve to keep hot lines and segments from
+    gathering in one task; the links don't depend on them.
+    """
+    size = lambda some: some.select(*_hashes("line"), "line", F.length("line").alias("n")).where(F.col("n") >= PER)
+    sized = size(lines)
+    once = sized if repeated is None else sifted(sized, repeated, "h", rest=True).unionByName(sifted(sized, repeated, "h").distinct())
+    keys, hot = keyed(once, edits), None
+    if sample is not None:
+        often = keyed(size(sample).distinct(), edits).groupBy("key").count().where(F.col("count") >= OFTEN)
+        hot = written(often.orderBy(F.desc("count"), "key").limit(LISTED).select("key"))
+    by_key = Window.partitionBy("key")
+    around = {"low": F.min("h").over(by_key), "high": F.max("h").over(by_key), "owned": F.max("own").over(by_key)}
+    plain = keys if hot is None or hot.isEmpty() else keys.join(F.broadcast(hot), "key", "left_anti")  # at most LISTED rows
+    met = plain.withColumns(around).where((F.col("low") != F.col("high")) & F.col("owned")).select("key", "h", "own")
+    if plain is not keys:
+        met = met.unionByName(keys.join(F.broadcast(hot), "key", "left_semi").select("key", "h", "own"))  # at most LISTED rows
+    met = written(met.distinct())
     ids = written(met.select("h").distinct())
     # Not a semi-join, which the optimiser would move ahead of the sifting.
     likely = sifted(sized, ids, "h").distinct().join(ids, "h").withColumn("id", F.monotonically_increasing_id())
@@ -167,15 +182,16 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFra
     # The rows of a hot segment are dealt to chunks, and each pair of chunks is a group of its own.
     chunks = F.ceil(F.col("m") / HOT).cast("int")
     chunk = lambda name: F.pmod(F.xxhash64(F.lit(7), name), F.col("k")).cast("int")
-    marked = met.join(some.select("h", "id", "letters", "n"), "h").withColumn("k", chunks)
+    counts = met.groupBy("key").agg(F.count("*").alias("m"))
+    marked = met.join(some.select("h", "id", "letters", "n"), "h").join(counts, "key").withColumn("k", chunks)
     every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     index = marked.where("own").select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"), F.col("n").alias("n_a"), chunk("id").alias("x"), every.alias("y"))
     probes = marked.select(F.col("key").alias("probe"), F.col("id").alias("b"), "letters", "own", "n", chunk("id").alias("v"), every.alias("u"))
     limit = allowed(F.least("n", "n_a"), edits)
     alike = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a"))) <= 2 * limit
-    once = (F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b")))
+    apart = (F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b")))
     same = (F.col("probe") == F.col("key")) & (F.col("u") == F.col("x")) & (F.col("v") == F.col("y"))
-    pairs = probes.join(index, same & alike & once)
+    pairs = probes.join(index, same & alike & apart)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), limit.alias("limit")).distinct()
     full = pairs.join(some.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(
         some.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b"
@@ -188,7 +204,7 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFra
         likely = mine.where(plausible(F.col("line_a"), F.col("line_b"), e))
         found.append(verified(likely, "line_a", "line_b", e).select("a", "b"))
     out = written(reduce(DataFrame.unionByName, found).distinct())
-    discard(shared, met, ids, middles)
+    discard(met, ids, middles, *([hot] if hot is not None else []))
     return out, some
 
 
@@ -204,18 +220,22 @@ def _listed(docs: DataFrame, row: Column, id_col: str, text_col: str, edits: int
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.split(text, "\n", -1).alias("lines"))
     each = source.select("doc_id", "row", F.posexplode("lines").alias("place", "line")).where("trim(line) <> ''")
     places = each.select("doc_id", "row", "place", *_hashes("line"))
-    links, lines = near_lines(each.select("line"), edits)
+    found = places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
+    first = written(found)
+    repeated = written(first.where(F.col("n") >= REPEATED).select("h"))
+    sampled = each.where(F.pmod("row", F.lit(SAMPLED)) == 0).select("line")
+    links, lines = near_lines(each.select("line"), edits, repeated, sampled)
     groups = written(components(links).select(F.col("node").alias("id"), F.col("component").alias("class")))
     linked = written(lines.join(groups, "id").select("h", "g", "class"))
-    discard(lines, links, groups)
-    first = places.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.count("*").alias("n"))
+    discard(lines, links, groups, repeated)
     # A line that occurs once and links with none is never dropped, so it needs no lookup.
     classed = written(first.join(linked, ["h", "g"], "left").where((F.col("n") > 1) | F.col("class").isNotNull()))
+    discard(first, linked)
     best = classed.where("class is not null").groupBy("class").agg(F.min(F.struct("first", "h", "g")).alias("best"))
     same = (F.coalesce("best.h", "h") == F.col("h")) & (F.coalesce("best.g", "g") == F.col("g"))
     lookup = attach(classed, best, "class", "h").select("h", "g", F.coalesce("best.first", "first").alias("first"), (~same).alias("near"))
-    found = attach(sifted(places, classed.select("h"), "h"), lookup, ["h", "g"], "row").where("first is not null")
-    dropped = found.where(~F.struct("doc_id", "row", "place").eqNullSafe(F.col("first")))
+    met = attach(sifted(places, classed.select("h"), "h"), lookup, ["h", "g"], "row").where("first is not null")
+    dropped = met.where(~F.struct("doc_id", "row", "place").eqNullSafe(F.col("first")))
     return dropped.groupBy("doc_id", "row").agg(
         F.array_sort(F.collect_list("place")).alias("places"), F.count_if("near").alias("near")
     )
