@@ -110,24 +110,9 @@ def _content(docs: DataFrame) -> Column:
     return F.xxhash64(F.lit(5), *[docs[f"`{f.name.replace('`', '``')}`"] for f in docs.schema.fields if _comparable(f.dataType)])
 
 
-def mix(
-    docs: DataFrame,
-    weights: Mapping[str | None, float | Fraction] | None = None,
-    default_weight: float | Fraction = 1,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-) -> DataFrame:
-    """Give every row its place in the mixed order; adds columns to those of ``docs``.
-
-    Adds _block (number within the source), _release, _deadline and _slot of the block, and _place
-    within it; (_slot, _place) is unique and sorts the mix. Columns of ``docs`` with these names are replaced; no other
-    name clashes. Sources that ``weights`` doesn't list have ``default_weight``; a weight of zero is refused, as rows
-    are never dropped. A null source is a source of its own, listed as None. Rows of a source are dealt in an order by hash of the
-    identifier and the other columns, so that repeated and null identifiers spread too; rows that are equal
-    throughout follow each other. No rows give no rows.
-    """
+def _placed(docs: DataFrame, weights: Mapping[str | None, float | Fraction], default_weight: float | Fraction, id_col: str, source_col: str) -> DataFrame:
+    """(row, then the columns of ADDED): each row as one value, so that no name of it can clash."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c.lower() not in ADDED]
     name = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("null"))
     packed = docs.select(F.struct("*").alias("row"), name.alias("source"), F.xxhash64(F.lit(9), docs[id_col], _content(docs)).alias("hash"))
     tagged = packed.withColumn("range", F.shiftrightunsigned("hash", 52).cast("int"))
@@ -138,9 +123,8 @@ def mix(
     found = [r[0] for r in tagged.select("source").distinct().limit(SOURCES + 1).collect()]  # bounded
     if not found:
         kinds = zip(ADDED, ("long", "long", "long", "long", "int"), strict=True)
-        return docs.select(*[docs[c] for c in kept], *[F.lit(None).cast(k).alias(n) for n, k in kinds])
-    given = weights or {}
-    parts = whole_parts({s: given.get(s[1:] if s[0] == "=" else None, default_weight) for s in found})
+        return packed.select("row", *[F.lit(None).cast(k).alias(n) for n, k in kinds])
+    parts = whole_parts({s: weights.get(s[1:] if s[0] == "=" else None, default_weight) for s in found})
     period = sum(parts.values())
     slots = spark.createDataFrame(schedule(parts), "source string, at long, r long, d long, s long")
     share = spark.createDataFrame(list(parts.items()), "source string, parts long")
@@ -157,7 +141,7 @@ def mix(
         .join(F.broadcast(slots), ["source", "at"])  # at most PERIOD + SOURCES rows
     )
     return ranked.select(
-        *[F.col("row")[c].alias(c) for c in kept],
+        "row",
         F.col("block").alias("_block"),
         (F.col("cycle") + F.col("r")).alias("_release"),
         (F.col("cycle") + F.col("d")).alias("_deadline"),
@@ -166,9 +150,32 @@ def mix(
     )
 
 
+def mix(
+    docs: DataFrame,
+    weights: Mapping[str | None, float | Fraction] | None = None,
+    default_weight: float | Fraction = 1,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+) -> DataFrame:
+    """Give every row its place in the mixed order; adds columns to those of ``docs``.
+
+    Adds _block (number within the source), _release, _deadline and _slot of the block, and _place
+    within it; (_slot, _place) is unique and sorts the mix. Columns of ``docs`` with these names are replaced; no other
+    name clashes. Sources that ``weights`` doesn't list have ``default_weight``; a weight of zero is refused, as rows
+    are never dropped. A null source is a source of its own, listed as None. Rows of a source are dealt in an order by hash of the
+    identifier and the other columns, so that repeated and null identifiers spread too; rows that are equal
+    throughout follow each other. No rows give no rows.
+    """
+    placed = _placed(docs, weights or {}, default_weight, id_col, source_col)
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ADDED], *ADDED)
+
+
 def in_mixed_order(
-    docs: DataFrame, weights: Mapping[str | None, float | Fraction] | None = None, id_col: str = "doc_id", source_col: str = "source"
+    docs: DataFrame,
+    weights: Mapping[str | None, float | Fraction] | None = None,
+    default_weight: float | Fraction = 1,
+    id_col: str = "doc_id",
+    source_col: str = "source",
 ) -> DataFrame:
     """``docs`` sorted by the mix; columns stay as they are, whatever their names."""
-    rows = docs.select(F.struct("*").alias("row"), docs[id_col].alias("id"), docs[source_col].alias("source"))
-    return mix(rows, weights, id_col="id", source_col="source").orderBy("_slot", "_place").select("row.*")
+    return _placed(docs, weights or {}, default_weight, id_col, source_col).orderBy("_slot", "_place").select("row.*")
