@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vframe.llm import chat_format, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, pii, simhash_dedup, toxicity
 from vframe.llm import common, queries
@@ -71,6 +72,47 @@ def test_exact_dedup(docs, texts, keep):
     assert exact_dedup.drop_copies(docs).columns == docs.columns
 
 
+CLASHES = ["_row", "row", "key", "h", "g", "_wanted", "_salt", "dropped", "start", "end", "base", "found", "spans", "_spans", "_key", "fp", "id", "addr", "class", "first", "_slot", "source2", "hash", "range", "file", "at", "n", "score"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    texts = ["mail a@b.org now", "mail a@b.org now", None, "", " \n", "x" * 70_000 + " end", "one two three four five six seven eight\nsame line of text", "One two three four five six seven eight\nsame line of text"]
+    rows = [(i % 7 or None, t, "hot" if i % 3 else None, *[f"{c}{i}" for c in CLASHES], {"k": i}) for i, t in enumerate(texts * 3)]
+    return spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'{c} string' for c in CLASHES)}, extra map<string,int>")
+
+
+def test_clashing_names_and_odd_rows(spark, clashing):
+    labels = spark.createDataFrame([(1, 0, "x"), (None, 1, "x"), (2, None, "x"), (3, 7, "x")], "doc_id long, toxic int, id string")
+    same = [mixing.in_mixed_order(clashing), toxicity.drop_toxic(clashing, labels), pii.redact(clashing), line_dedup.drop_lines(clashing)]
+    fewer = [exact_dedup.drop_copies(clashing), simhash_dedup.drop_near_copies(clashing)]
+    assert all(x.columns == clashing.columns for x in [*same, *fewer])
+    assert [x.count() for x in same] == [24] * 4 and [x.count() for x in fewer] == [5, 4]
+    assert sorted(map(str, same[0].collect())) == sorted(map(str, clashing.collect())) == sorted(map(str, same[1].collect()))
+    queries_ = [
+        toxicity.toxicity(clashing, labels), exact_dedup.exact_dedup(clashing), simhash_dedup.simhash_dedup(clashing), line_dedup.line_dedup(clashing),
+        pii.pii_digest(clashing), license_scan.scan_licenses(clashing), toxicity.restored_texts(clashing, labels), mixing.mix(clashing),
+    ]
+    assert [x.count() for x in queries_] == [24] * len(queries_)
+    assert packing.pack(clashing, *TOKENIZER).groupBy("doc_id").count().count() == 7
+
+
+def test_empty_tables_of_changed_frames(spark, clashing):
+    none, labels = clashing.where("false"), spark.createDataFrame([], "doc_id long, toxic int")
+    made = [mixing.in_mixed_order(none), toxicity.drop_toxic(none, labels), pii.redact(none), line_dedup.drop_lines(none), exact_dedup.drop_copies(none), simhash_dedup.drop_near_copies(none)]
+    assert [(x.count(), x.columns) for x in made] == [(0, clashing.columns)] * len(made)
+
+
+def test_intermediates_are_deleted(spark):
+    since = common.mark()
+    d = common.written(spark.range(10))
+    e = common.written(spark.range(3))
+    common.sweep(since, e)
+    assert common.mark() - since == {p for p in common.mark() if p.rpartition("/")[2] in e.inputFiles()[0]} and e.count() == 3
+    common.discard(e)
+    assert common.mark() == since and d is not None
+
+
 def test_merged_runs_fold(monkeypatch, spark):
     monkeypatch.setattr(exact_dedup, "RUN", 7)
     monkeypatch.setattr(exact_dedup, "SLICE", 2)
@@ -519,7 +561,10 @@ def test_near_lines(spark, monkeypatch, hot):
             b[k : k + rnd.randint(0, 1)] = rnd.choice(["", "a", "c"])
         lines.add("".join(b))
     lines = sorted(x for x in lines if x.strip())
-    links, some = line_dedup.near_lines(spark.createDataFrame([(x,) for x in lines * 3], "line string"))
+    monkeypatch.setattr(line_dedup, "OFTEN", 2)
+    every = spark.createDataFrame([(x,) for x in lines * 3], "line string")
+    repeated = every.where("length(line) > 12").select(F.xxhash64("line").alias("h")).distinct()
+    links, some = line_dedup.near_lines(every) if hot > 3 else line_dedup.near_lines(every, 2, repeated, every)
     place = {r["id"]: lines.index(r["line"]) for r in some.collect()}
     got = {tuple(sorted((place[r["a"]], place[r["b"]]))) for r in links.collect()}
     most = lambda a, b: min(2, min(len(a), len(b)) // 8)
@@ -539,7 +584,9 @@ def plain_line_dedup(rows):
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
+def test_line_dedup_against_brute_force(spark, monkeypatch):
+    for name, n in (("REPEATED", 2), ("SAMPLED", 2), ("OFTEN", 3)):
+        monkeypatch.setattr(line_dedup, name, n)
     rnd = random.Random(11)
     pool = ["".join(rnd.choice("abc d") for _ in range(rnd.randint(3, 26))) for _ in range(30)]
     pool += [p[:5] + "x" + p[5:] for p in pool[:15]] + ["", " ", "ab", "é" * 9000, "é" * 9000 + "!"]

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from vframe.llm import mixing, simhash_dedup, toxicity
+from vframe.llm import mixing, queries, simhash_dedup, toxicity
 from vframe.llm.common import table, written
 
 DATA = "/root/testdata/sf0.001"
@@ -14,7 +14,9 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables aren't here")
 def test_pipeline(spark):
     docs = table(spark, DATA, "documents")
-    toxic = {r["doc_id"] for r in toxicity.toxicity(docs, table(spark, DATA, "labels")).where("predicted = 1").collect()}
+    labels = table(spark, DATA, "labels")
+    score = toxicity.Scorer(*toxicity.fit(docs, labels))
+    toxic = {r["doc_id"] for r in docs.collect() if score(r["text"]) >= toxicity.THRESHOLD}
     left = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] not in toxic}
     by_text = {}
     for i, t in left.items():
@@ -35,13 +37,21 @@ def test_pipeline(spark):
     assert pieces.groupby("sequence_id").length.sum().max() <= 1024
 
 
+@pytest.mark.skipif(not Path(DATA.replace("0.001", "0.1")).exists(), reason="the driver's tables aren't here")
+def test_held_out_labels(spark):
+    data = DATA.replace("0.001", "0.1")
+    found = queries.op1_toxicity(spark, data).where("held_out").join(table(spark, data, "labels"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in found}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n[1, 0]) and n[0, 1] <= 0.05 * (n[0, 1] + n[0, 0])
+
+
 def test_sequences_follow_the_mix_over_several_files(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         rows = [(i, "word " * (1 + i % 97 * (1 + i % 3)), "hot" if i % 4 else "b") for i in range(1500)]
         docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7, "doc_id")
         docs = written(corpus_pipeline.mixing_stage(spark, docs, DATA).repartition(5, "doc_id"))
-        place = {r["doc_id"]: (r["_slot"], r["_place"]) for r in mixing.mix(docs).collect()}
+        place = {r["doc_id"]: (r["_slot"], r["_place"]) for r in mixing.mix(docs, mixing.tempered(docs)).collect()}
         pieces = corpus_pipeline.packing_stage(spark, docs, DATA).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
