@@ -165,3 +165,24 @@ def compaction_cutoff(messages: DataFrame, keep: int, trigger: int, by: str = "c
     return ranked.groupBy(by).agg(
         F.coalesce(F.max("n") - F.max(F.when(fits, F.col("left"))), F.when(F.max("n") >= trigger, F.max("n") - last), F.lit(0)).cast("long").alias("cutoff")
     )
+
+
+def routes(messages: DataFrame, keep: int, trigger: int, by: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(conversation, enters, goes_on): where each conversation goes next.
+
+    It enters at ``summarize`` if a summary would replace messages, else at ``react``; it goes on to ``tools`` if its last message is an
+    assistant's with tool calls (a column tool_calls, not null and no empty list), else to ``finish``.
+    """
+    calls = F.coalesce(~F.col("tool_calls").isin("", "[]"), F.lit(False)) if "tool_calls" in messages.columns else F.lit(False)
+    last = messages.groupBy(by).agg(F.max_by((F.col("role") == "assistant") & calls, F.col(order)).alias("calls"))
+    cut = compaction_cutoff(messages, keep, trigger, by, order)
+    enters = F.when(F.col("cutoff") > 0, "summarize").otherwise("react")
+    return cut.join(last, by).select(by, enters.alias("enters"), F.when(F.col("calls"), "tools").otherwise("finish").alias("goes_on"))
+
+
+def open_items(items: DataFrame, by: str, hidden: tuple[str, ...] = ("done", "archived")) -> DataFrame:
+    """(by, shown): the items (id, content, status) of each owner that aren't hidden, one line each by identifier."""
+    left = items.where(~F.coalesce(F.col("status").isin(*hidden), F.lit(False)))
+    line = F.format_string("[#%d] %s", F.col("id"), F.coalesce("content", F.lit("")))
+    lines = F.array_sort(F.collect_list(F.struct(F.col("id"), line.alias("line"))))
+    return left.groupBy(by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("shown"))

@@ -106,26 +106,48 @@ def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.agg(*stats).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Cramér's V of two columns over the observed cells, without bias correction."""
-    cells = df.where(col(a).isNotNull() & col(b).isNotNull()).groupBy(col(a).alias("a"), col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
-    rows, cols, one = cells.groupBy("a").agg(F.sum("n").alias("r")), cells.groupBy("b").agg(F.sum("n").alias("c")), cells.agg(F.sum("n").alias("t"))
-    # The totals are one row; rows and columns of the table join on their value.
-    wide = cells.join(rows, "a").join(cols, "b").join(F.broadcast(one))
+def _long(df: DataFrame, entries: list[Column]) -> DataFrame:
+    """A row for each row and entry: one scan serves all entries, and the aggregate that follows combines before its shuffle."""
+    return df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
+def _named(found: DataFrame, pairs: list[tuple[str, str]], value: Column) -> DataFrame:
+    names = _rows(found, [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string")
+    return names.join(found.select("pair", value.alias("value")), "pair", "left").select("column_a", "column_b", "value")  # a row for each pair
+
+
+def cramers_v_of(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Cramér's V of pairs of columns over the observed cells, without bias correction; one scan for all pairs."""
+    text = lambda c: col(c).cast("string")
+    each = _long(df, [F.struct(F.lit(i).alias("pair"), text(a).alias("a"), text(b).alias("b")) for i, (a, b) in enumerate(pairs)])
+    cells = each.where("a is not null and b is not null").groupBy("pair", "a", "b").agg(F.count("*").cast("double").alias("n"))
+    rows, cols = cells.groupBy("pair", "a").agg(F.sum("n").alias("r")), cells.groupBy("pair", "b").agg(F.sum("n").alias("c"))
+    totals = rows.groupBy("pair").agg(F.sum("r").alias("t"), F.count("*").alias("n_a")).join(cols.groupBy("pair").agg(F.count("*").alias("n_b")), "pair")
+    wide = cells.join(rows, ["pair", "a"]).join(cols, ["pair", "b"]).join(F.broadcast(totals), "pair")  # a row for each pair
     e = F.col("r") * F.col("c") / F.col("t")
-    got = wide.agg(F.sum((F.col("n") - e) * (F.col("n") - e) / e).alias("x"), F.first("t").alias("t"), F.least(F.count_distinct("a"), F.count_distinct("b")).alias("m"))
-    value = F.when((F.col("t") > 0) & (F.col("m") > 1), F.sqrt(F.col("x") / (F.col("t") * (F.col("m") - 1))))
-    return got.select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), value.alias("value"))
+    got = wide.groupBy("pair").agg(F.sum((F.col("n") - e) * (F.col("n") - e) / e).alias("x"), F.first("t").alias("t"), F.first(F.least("n_a", "n_b")).alias("m"))
+    return _named(got, pairs, F.when((F.col("t") > 0) & (F.col("m") > 1), F.sqrt(F.col("x") / (F.col("t") * (F.col("m") - 1)))))
+
+
+def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Cramér's V of two columns."""
+    return cramers_v_of(df, [(a, b)])
+
+
+def eta_squared_of(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Share of a number's variation between the categories, for pairs of a category and a number; null where there is none. One scan for all pairs."""
+    each = _long(df, [F.struct(F.lit(i).alias("pair"), col(c).cast("string").alias("k"), col(n).cast("double").alias("x")) for i, (c, n) in enumerate(pairs)])
+    found = each.where("k is not null and x is not null").groupBy("pair", "k")
+    groups = found.agg(F.count("*").cast("double").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v"))
+    whole = groups.groupBy("pair").agg(F.sum(F.col("n") * F.col("v")).alias("w"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
+    apart = groups.join(F.broadcast(whole), "pair")  # a row for each pair
+    between = apart.groupBy("pair").agg(F.sum(F.col("n") * (F.col("m") - F.col("g")) * (F.col("m") - F.col("g"))).alias("b"), F.first("w").alias("w"))
+    return _named(between, pairs, F.try_divide(F.col("b"), F.nullif(F.col("b") + F.col("w"), F.lit(0.0))))
 
 
 def eta_squared(df: DataFrame, category: str, number: str) -> DataFrame:
-    """Share of a number's variation between the categories; null where there is none."""
-    rows = df.where(col(category).isNotNull() & col(number).isNotNull())
-    groups = rows.groupBy(col(category).alias("k")).agg(F.count("*").cast("double").alias("n"), F.avg(col(number)).alias("m"), F.coalesce(F.var_pop(col(number)), F.lit(0.0)).alias("v"))
-    within = groups.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("v")).alias("w"), (F.sum(F.col("n") * F.col("m")) / F.nullif(F.sum("n"), F.lit(0.0))).alias("g"))
-    between = groups.join(F.broadcast(within)).agg(F.sum(F.col("n") * (F.col("m") - F.col("g")) * (F.col("m") - F.col("g"))).alias("b"), F.first("w").alias("w"))
-    value = F.try_divide(F.col("b"), F.nullif(F.col("b") + F.col("w"), F.lit(0.0)))
-    return between.select(F.lit(category).alias("column_a"), F.lit(number).alias("column_b"), value.alias("value"))
+    """Eta squared of a category and a number."""
+    return eta_squared_of(df, [(category, number)])
 
 
 def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -140,8 +162,10 @@ def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     parts = []
     if len(number) > 1:
         parts.append(pearson(df, list(combinations(number, 2))).withColumn("method", F.lit("pearson")))
-    parts += [cramers_v(df, a, b).withColumn("method", F.lit("cramers_v")) for a, b in combinations(other, 2)]
-    parts += [eta_squared(df, c, n).withColumn("method", F.lit("eta_squared")) for c in other for n in number]
+    if len(other) > 1:
+        parts.append(cramers_v_of(df, list(combinations(other, 2))).withColumn("method", F.lit("cramers_v")))
+    if other and number:
+        parts.append(eta_squared_of(df, [(c, n) for c in other for n in number]).withColumn("method", F.lit("eta_squared")))
     strongest = Window.partitionBy("method").orderBy(F.desc(F.abs(F.coalesce("value", F.lit(0.0)))), "column_a", "column_b")
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(strongest))
     return ranked.select("method", "column_a", "column_b", "value", "rank")

@@ -714,6 +714,27 @@ def memory_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.select("conv_id", "turn", F.col("m.user_goal").alias("user_goal"), F.size("m.key_findings").alias("n_findings"), first.alias("first_line"))
 
 
+@query(
+    "conv_route",
+    """WITH r AS (SELECT conv_id, role = 'user' AS u, row_number() OVER w AS l, sum((role = 'user')::INT) OVER w AS us, count(*) OVER (PARTITION BY conv_id) AS n
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)),
+    c AS (SELECT conv_id, coalesce(max(n) - max(l) FILTER (u AND n >= 4 AND us <= 1 AND l < 4), CASE WHEN max(n) >= 4 THEN max(n) - min(l) FILTER (u) END, 0) AS cutoff FROM r GROUP BY 1)
+    SELECT conv_id, CASE WHEN cutoff > 0 THEN 'summarize' ELSE 'react' END AS enters, CASE WHEN (SELECT max_by(role, turn) FROM conversations x WHERE x.conv_id = c.conv_id) = 'assistant' THEN 'tools' ELSE 'finish' END AS goes_on FROM c""",
+)
+def conv_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("tool_calls", F.when(F.col("role") == "assistant", '[{"name": "f"}]').otherwise("[]"))
+    return text_functions.routes(rows, 1, 4)
+
+
+@query(
+    "open_items",
+    """SELECT o_custkey, string_agg('[#' || o_orderkey || '] ' || o_orderpriority, chr(10) ORDER BY o_orderkey) AS shown FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""",
+)
+def open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey AS id", "o_orderpriority AS content", "CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status")
+    return text_functions.open_items(items, "o_custkey")
+
+
 @query("turns_added", "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1")
 def turns_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_functions.turns_added(table(spark, sf_dir, "conversations"), "conv_id")
