@@ -144,29 +144,44 @@ def _said(trail: Trail, state: State) -> str:
 def decode(token: str, model: CharModel, spaced: bool = False) -> str:
     """The likeliest plain reading of a token: Viterbi over its lattice, a state per last two classes.
 
-    Each state points back to the one it came from. After each SETTLE steps, what all paths that are left have in common is said and
-    forgotten, so a token of any length takes time in proportion.
+    Each state points back to the one it came from. As soon as one state is left, and after each SETTLE steps, what all paths that are left have in
+    common is said and forgotten, so a token of any length takes time in proportion.
     """
-    costs: dict[State, float] = {0: 0.0}
-    trail: Trail = []
-    out: list[str] = []
     flat = model.flat
+    out: list[str] = []
+    state, cost = 0, 0.0  # the one path, where there is one
+    costs: dict[State, float] | None = None  # else the paths by their state
+    trail: Trail = []
     for match in _RUN.finditer(token):
         run = match[0]
         arcs = _known.get((run, spaced)) or _classed(run, spaced)
+        if costs is None:
+            if len(arcs) == 1 and len(arcs[0][2]) == 1:
+                letters, price, classes = arcs[0]
+                at = state * ALPHABET + classes[0]
+                cost += price + flat[at]
+                state = at % (ALPHABET * ALPHABET)
+                out.append(letters)
+                continue
+            costs = {state: cost}
         after: dict[State, float] = {}
         came: dict[State, tuple[State, str]] = {}
-        for state, cost in costs.items():
+        for before, so_far in costs.items():
             for letters, price, classes in arcs:
-                x, total = state, cost + price
+                x, total = before, so_far + price
                 for z in classes:
                     at = x * ALPHABET + z
                     total += flat[at]
                     x = at % (ALPHABET * ALPHABET)
                 if x not in after or total > after[x]:
-                    after[x], came[x] = total, (state, letters)
-        costs = after
+                    after[x], came[x] = total, (before, letters)
         trail.append(came)
+        if len(after) == 1:
+            ((state, cost),) = after.items()
+            out.append(_said(trail, state))
+            costs, trail = None, []
+            continue
+        costs = after
         if len(trail) % SETTLE == 0:
             states = set(costs)
             for at in range(len(trail) - 1, -1, -1):
@@ -175,8 +190,9 @@ def decode(token: str, model: CharModel, spaced: bool = False) -> str:
                     out.append(_said(trail[:at], states.pop()))
                     trail = trail[at:]
                     break
-    best = max(costs, key=lambda s: (costs[s] + flat[s * ALPHABET], s))
-    return "".join([*out, _said(trail, best)])
+    if costs is not None:
+        out.append(_said(trail, max(costs, key=lambda s: (costs[s] + flat[s * ALPHABET], s))))
+    return "".join(out)
 
 
 class Restorer:
@@ -209,7 +225,7 @@ class Restorer:
             if len(self.readings) > REMEMBERED:
                 self.readings.clear()
             said = decode(word, self.model)
-            if said != word and said not in self.lexicon and (single := _RUN.sub(r"\1", said)) in self.lexicon:
+            if said != word and self.lexicon and said not in self.lexicon and (single := _RUN.sub(r"\1", said)) in self.lexicon:
                 said = single
             self.readings[word] = said
         return said
