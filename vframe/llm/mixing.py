@@ -30,8 +30,8 @@ BLOCK = 16
 #: Slots of a period at most (a table of a few MB, which is broadcast), and sources at most.
 PERIOD = 1 << 17
 SOURCES = 1 << 15
-#: Hash ranges that the rows of a source are ranked in.
-RANGES = 4096
+#: Hash ranges that the rows of a source are ranked in, as a power of two at least, and rows that a range should have at most.
+RANGE_BITS, RANGE_ROWS = 12, 1 << 16
 #: Parts that :func:`tempered` shares out.
 PARTS = 1000
 #: Columns that :func:`mix` adds.
@@ -110,6 +110,51 @@ def _content(docs: DataFrame) -> Column:
     return F.xxhash64(F.lit(5), *[docs[f"`{f.name.replace('`', '``')}`"] for f in docs.schema.fields if _comparable(f.dataType)])
 
 
+def _placed(docs: DataFrame, weights: Mapping[str | None, float | Fraction], default_weight: float | Fraction, id_col: str, source_col: str) -> DataFrame:
+    """(row, then the columns of ADDED): each row as one value, so that no name of it can clash."""
+    spark = docs.sparkSession
+    name = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("null"))
+    packed = docs.select(F.struct("*").alias("row"), name.alias("source"), F.xxhash64(F.lit(9), docs[id_col], _content(docs)).alias("hash"))
+    sizes = {r[0]: r[1] for r in packed.groupBy("source").count().limit(SOURCES + 1).collect()}  # bounded
+    if not sizes:
+        kinds = zip(ADDED, ("long", "long", "long", "long", "int"), strict=True)
+        return packed.select("row", *[F.lit(None).cast(k).alias(n) for n, k in kinds])
+    parts = whole_parts({s: weights.get(s[1:] if s[0] == "=" else None, default_weight) for s in sizes})
+    # A place doesn't depend on the ranges: they cut the order of hashes, the finer the larger a source is.
+    bits = max(RANGE_BITS, (max(sizes.values()) // RANGE_ROWS).bit_length())
+    tagged = packed.withColumn("range", F.shiftrightunsigned("hash", 64 - bits))
+    counts = tagged.groupBy("source", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+
+    period = sum(parts.values())
+    blocks = lambda s, i: (i * period // parts[s], -(-(i + 1) * period // parts[s]))
+    coming = [(*blocks(s, 0), s, 0) for s in sorted(parts)]
+    heapq.heapify(coming)
+    ready: list[tuple[int, int, str, int]] = []
+    out = []
+    for slot in range(period):
+        while coming and coming[0][0] <= slot:
+            release, deadline, s, i = heapq.heappop(coming)
+            heapq.heappush(ready, (deadline, release, s, i))
+        deadline, release, s, i = heapq.heappop(ready)
+        out.append((s, i, release, deadline, slot))
+        if i + 1 < parts[s]:
+            heapq.heappush(coming, (*blocks(s, i + 1), s, i + 1))
+    return out
+
+
+def _comparable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_comparable(f.dataType) for f in kind.fields)
+    return _comparable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _content(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    return F.xxhash64(F.lit(5), *[docs[f"`{f.name.replace('`', '``')}`"] for f in docs.schema.fields if _comparable(f.dataType)])
+
+
 def _placed(docs: DataFrame, weights: Mapping[str | None, float | Fraction], default_weight: float | Fraction, id_col: str, source_col: str) -> DataFrame:
     """(row, then the columns of ADDED): each row as one value, so that no name of it can clash."""
     spark = docs.sparkSession
