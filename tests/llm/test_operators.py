@@ -294,6 +294,15 @@ def test_mixing_query_against_a_plain_scheduler(spark):
     assert len(out) == table(spark, DATA, "documents").count()
 
 
+def test_mix_is_the_same_by_any_ranges(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 4 = 0, 'b', 'hot') AS source")
+    first = sorted(map(tuple, mixing.mix(rows, {"b": 0.3}).collect()))
+    for bits, most in ((1, 1 << 16), (2, 64)):
+        monkeypatch.setattr(mixing, "RANGE_BITS", bits)
+        monkeypatch.setattr(mixing, "RANGE_ROWS", most)
+        assert sorted(map(tuple, mixing.mix(rows.repartition(5), {"b": 0.3}).collect())) == first
+
+
 def test_mixing_weights():
     assert mixing.whole_parts({"a": 0.1, "b": 0.2, "c": Fraction(1, 7)}) == {"a": 7, "b": 14, "c": 10}
     with pytest.warns(UserWarning, match="rounded"):
