@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vframe import cli
 from vframe.functions import caps, exprs, text
 from vframe.operators import fit, linalg, profile, ranks
 from vframe.operators.apply import op_of
@@ -360,3 +361,35 @@ def test_tool_calls_and_budget(spark):
     assert (found["assistant"], found["tool_results"], found["tools"], found["total"]) == (22, 14, 6, 42)
     shares = spark.createDataFrame([(-0.5,), (0.26,), (3.0,)], "x double").select(text.bar_fill(F.col("x"), 10).alias("n")).collect()
     assert [r["n"] for r in shares] == [0, 3, 10]
+
+
+def test_shell(spark, tmp_path):
+    (tmp_path / "reef.csv").write_text("depth,kind\n1,a\n2,b\n")
+    shell = cli.Shell(spark, tmp_path)
+    assert shell.run("/load-file reef.csv") == "version 0: depth, kind"
+    shell.store.derive(fit.standardize(shell.store.get(), ["depth"]), description="scaled")
+    assert shell.run("versions").splitlines() == ["  0 source initial load", "* 1 standardize scaled"]
+    assert shell.run("export 0 'out/a copy.csv'").endswith("2 rows, 2 columns") and (tmp_path / "out/a copy.csv").is_file()
+    assert shell.run("export run.py").endswith("run.py") and "reef.csv" in (tmp_path / "run.py").read_text()
+    assert "out/" in shell.run("ls") and shell.run("ls ../..").startswith("error")
+    assert shell.run("report").startswith("2 rows, 2 columns")
+    thread = shell.thread
+    again = cli.Shell(spark, tmp_path)
+    assert again.run("conversations") == f"{thread} reef.csv" and again.run(f"conversations resume {thread}") == "2 versions, head 1"
+    assert sorted(again.store.get().collect()) == sorted(shell.store.get().collect())
+    assert again.run("switch 0") == "head 0" and again.run("switch 7").startswith("error")
+    assert again.run(f"conversations rename {thread} new name") == "done" and again.run("conversations") == f"{thread} new name"
+    assert again.run(f"conversations delete {thread}") == "done" and again.run(f"conversations resume {thread}").startswith("error")
+    assert cli.hints("/e") == [cli.HELP["export"], cli.HELP["exit"]] and again.run("nope") == "no command 'nope'" and cli.parsed(" / ") == ("", [])
+    assert again.run("exit") == "" and again.done
+
+
+def test_names_of_fits():
+    assert [profile.fit_method(n) for n in ("Monte Carlo", "mc", "K-S", "chi2", None, "?")] == ["monte_carlo"] * 3 + ["chi2"] * 3
+    assert set(linalg.CANDIDATES) == set(linalg.PARAMETERS)
+
+
+def test_calibration(spark):
+    rows = spark.createDataFrame([(1.0, 100, 200), (1.0, 10, 200), (1.0, 100, 10_000), (1.0, 100, None)], "p double, e int, a int")
+    got = [r["n"] for r in rows.select(text.calibrated(F.col("p"), F.col("e"), F.col("a")).alias("n")).collect()]
+    assert got == [1.3, 1.0, 5.0, 1.0]

@@ -64,7 +64,7 @@ def context_breakdown(messages: DataFrame, system: str = "", summary: str = "",
 def calibrated(previous: Column, estimated: Column, actual: Column) -> Column:
     """Exponential mean of actual over estimated tokens, kept within 0.2 and 5; samples under 50 change nothing."""
     fresh = F.round(F.greatest(F.lit(0.2), F.least(F.lit(5.0), 0.3 * (actual / estimated) + 0.7 * previous)), 4)
-    return F.when((estimated < 50) | (actual < 50), previous).otherwise(fresh)
+    return F.when((estimated < 50) | (actual < 50) | actual.isNull() | estimated.isNull(), previous).otherwise(fresh)
 
 
 def upsert_latest(updates: DataFrame, key: str, order: str) -> DataFrame:
