@@ -20,7 +20,7 @@ import hashlib
 from collections.abc import Callable
 from functools import reduce
 from itertools import chain
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,21 +127,23 @@ MAPPINGS: dict[str, tuple[list[str], Callable[[], Column]]] = {
 def canonical(records: DataFrame, id_col: str, layout: list[str] | None = None) -> DataFrame:
     """(id, turns, layout) of records in any known layouts, which may differ from row to row; ``layout`` is the row's fingerprint.
 
-    A turn has role, text and said, the role's name in the source. ``layout`` names the columns that make the layouts,
-    where the frame has others too; else they are all but the id. Roles in the wild become canonical, unknown ones stay; null roles are
-    "user", null texts are empty. A record without any field, and one with an empty list, has no turns. A record in an unknown layout has null turns.
-    A frame none of whose columns is in a known layout is refused.
+    A turn has role, text and said, the role's name in the source. The columns that known layouts begin at make a record's layout, or those that
+    ``layout`` names; other columns are ignored, whatever their names. Roles in the wild become canonical, unknown ones stay; null roles are
+    "user", null texts are empty. A record all of whose columns are null, and one with an empty list, has no turns. A record in an unknown layout has
+    null turns: one whose fields no mapping takes together, or that has other columns alone. A frame none of whose columns is in a known layout is refused.
     """
-    names = layout or [c for c in records.columns if c != id_col]
+    tops = {p.split("[]")[0].split(".")[0] for some, _ in MAPPINGS.values() for p in some}
+    names = layout or [c for c in records.columns if c != id_col and c in tops]
     every = paths(T.StructType([records.schema[n] for n in names]))
     known = {p for p, _ in every}
     usable = {k: m for k, (some, m) in MAPPINGS.items() if some and known.issuperset(some)}
     if not usable:
-        raise ValueError(f"no mapping for the layout {sorted(known)}")
+        raise ValueError(f"no mapping for the layout {sorted(known) or records.columns}")
     present = F.array_sort(F.filter(F.array(*[F.when(test(), F.lit(p)) for p, test in every]), lambda p: p.isNotNull()))
     prints = F.substr(F.sha2(F.array_join(present, "\n"), 256), F.lit(1), F.lit(16))
-    tagged = records.select(F.col(id_col).alias("id"), *[F.col(n) for n in names], prints.alias("_layout"))
-    turns = F.when(F.col("_layout") == fingerprint([]), F.array().cast(TURN))
+    others = [records[f"`{c}`"].isNotNull() for c in records.columns if c != id_col and c not in names] if layout is None else []
+    tagged = records.select(F.col(id_col).alias("id"), *[F.col(n) for n in names], prints.alias("_layout"), reduce(or_, others, F.lit(False)).alias("_others"))
+    turns = F.when((F.col("_layout") == fingerprint([])) & ~F.col("_others"), F.array().cast(TURN))
     for key, mapping in usable.items():
         turns = turns.when(F.col("_layout") == key, mapping().cast(TURN))
     pairs = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
