@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations, product
 from pathlib import Path
 
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vframe.llm import chat_format, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, pii, simhash_dedup, toxicity
@@ -227,7 +229,7 @@ def test_packing_takes_very_long_texts(spark, text):
 
 
 def test_step_groups_are_balanced(docs):
-    pieces = packing.pack(docs.coalesce(1).unionAll(docs.coalesce(1)).coalesce(1), *TOKENIZER).toPandas()
+    pieces = packing.pack(reduce(DataFrame.unionAll, [docs] * 6).coalesce(1), *TOKENIZER).toPandas()
     sums = pieces.groupby("step_group").length.sum()
     assert len(sums) > 2 and (sums == packing.STEP_TOKENS).sum() >= len(sums) - 1 and sums.max() == packing.STEP_TOKENS
 
