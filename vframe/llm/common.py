@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -201,13 +201,14 @@ def components(edges: DataFrame) -> DataFrame:
     each edge its node's minimum by a salted join, so a hub costs no task more than its share. Each
     round's edges go to the shared folder. Nodes without an edge are not returned.
     """
-    edges = written(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .where("u <> v")
-        .distinct()
-    )
-    sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = sums(edges)
+    def summed(frame: DataFrame) -> tuple[DataFrame, tuple]:
+        """A round's edges, written, with their number and a sum of their hashes, which are taken while they are written."""
+        seen = Observation()
+        hashes = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        out = written(frame.observe(seen, F.count(F.lit(1)).alias("n"), hashes.alias("hashes")))
+        return out, (seen.get["n"], seen.get["hashes"])
+
+    edges, before = summed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -219,12 +220,11 @@ def components(edges: DataFrame) -> DataFrame:
         )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = attach(large, least, "u", "v").select("u", "v", "m")
-        after_round = written(
+        after_round, after = summed(
             small.select("u", F.col("m").alias("v"))
             .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        after = sums(after_round)
         discard(edges)
         edges = after_round
         if after == before:
