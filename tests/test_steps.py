@@ -177,7 +177,7 @@ def test_order_statistics(spark, monkeypatch, ranked, accuracy):
     for name, values in columns.items():
         ordered = sorted((v for v in values if v is not None), key=lambda v: (math.isnan(v), v))
         asked = [0, 1, len(ordered) // 3, len(ordered) // 2, len(ordered) - 1, len(ordered)]
-        got = ranks.order_statistics(d, {name: asked})[name]
+        got = ranks.order_statistics(d, {name: asked}, {name: len(ordered)})[name]
         assert all(same(x, y) for x, y in zip(got, [*[ordered[k] for k in asked[:-1]], None], strict=True))
 
 

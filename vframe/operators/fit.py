@@ -89,7 +89,7 @@ def fill_missing(df: DataFrame, pairs: list[dict]) -> Step:
             stats += [F.min(col(p["group_by"])).cast("double").alias(f"low{i}"), F.max(col(p["group_by"])).cast("double").alias(f"high{i}")]
     got = df.agg(*stats).first().asDict()
     middle = {p["column"]: int(got[f"stat{i}"]) for i, p in enumerate(pairs) if p["action"] == "median"}
-    at = order_statistics(df, {c: [(n - 1) // 2, n // 2] for c, n in middle.items() if n}) if any(middle.values()) else {}
+    at = order_statistics(df, {c: [(n - 1) // 2, n // 2] for c, n in middle.items() if n}, middle) if any(middle.values()) else {}
     for i, p in enumerate(pairs):
         if p["action"] == "median":
             got[f"stat{i}"] = median_of(at.get(p["column"], [None, None]))

@@ -86,7 +86,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     by_column = {c: got[6 * i : 6 * i + 6] for i, c in enumerate(names)}
     nearest = lambda n, q: math.floor((n - 1) * q + 0.5)
     ranks = {c: [nearest(n, 0.25), nearest(n, 0.75), (n - 1) // 2, n // 2] for c, (n, *_) in by_column.items() if n}
-    at = order_statistics(df, ranks)
+    at = order_statistics(df, ranks, {c: n for c, (n, *_) in by_column.items()})
     rows = []
     for c, (n, nulls, mean, std, low, high) in by_column.items():
         q1, q3, *middle = at.get(c, [None] * 4)

@@ -26,8 +26,8 @@ def _halved(df: DataFrame, c: str, rank: int, low: float, high: float) -> tuple[
     return (low, before) if rank < below else (middle, middle) if rank < upto else (after, high)
 
 
-def order_statistics(df: DataFrame, asked: dict[str, list[int]]) -> dict[str, list[float | None]]:
-    """The values at given ranks (from 0) among the non-null values of columns; NaN is the largest. None where there is no such rank.
+def order_statistics(df: DataFrame, asked: dict[str, list[int]], sizes: dict[str, int]) -> dict[str, list[float | None]]:
+    """The values at given ranks (from 0) among the non-null values of columns, of which there are ``sizes``; NaN is the largest. None where there is no such rank.
 
     A sketch brackets each rank; one pass counts what lies below and inside the brackets. Where a bracket holds at most RANKED distinct values
     they are ranked on the driver, else it is bracketed anew inside. So no buffer holds a column's values.
@@ -41,7 +41,11 @@ def order_statistics(df: DataFrame, asked: dict[str, list[int]]) -> dict[str, li
             x = col(c).cast("double")
             return x.isNotNull() if low is None else (x >= F.lit(low)) & (x <= F.lit(high))
 
-        counts = df.agg(*[n for c, k in keys for n in (F.count_if(inside(c, *todo[c, k])), F.count_if(col(c).cast("double") < F.lit(todo[c, k][0])) if todo[c, k][0] is not None else F.lit(0))]).first()
+        if None in next(iter(todo.values())):  # the first round: nothing is bracketed
+            counts = [n for c, _ in keys for n in (sizes[c], 0)]
+        else:
+            below_low = lambda c, k: F.count_if(col(c).cast("double") < F.lit(todo[c, k][0]))
+            counts = df.agg(*[n for c, k in keys for n in (F.count_if(inside(c, *todo[c, k])), below_low(c, k))]).first()
         sketches, small = [], []
         for i, (c, k) in enumerate(keys):
             n, below = counts[2 * i], counts[2 * i + 1]
