@@ -218,8 +218,7 @@ class Restorer:
         return list(dict.fromkeys(words))
 
     def _reading(self, word: str) -> str:
-        if not ODD.match(word):
-            return word
+        """The reading of a suspicious word."""
         said = self.readings.get(word)
         if said is None:
             if len(self.readings) > REMEMBERED:
@@ -230,27 +229,26 @@ class Restorer:
             self.readings[word] = said
         return said
 
+    def _apart(self, text: str | None) -> list[str]:
+        return SPACED.sub(lambda m: " ".join(self._spaced(m[0])), (text or "").lower()).split()
+
     def text(self, text: str | None) -> str:
         """The restored text, lower-cased, a blank between words."""
-        apart = SPACED.sub(lambda m: " ".join(self._spaced(m[0])), (text or "").lower())
-        return " ".join(map(self._reading, apart.split()))
+        return " ".join(self._reading(w) if ODD.match(w) else w for w in self._apart(text))
 
     def words(self, text: str | None) -> set[str]:
         """The distinct words of the restored text."""
-        apart = SPACED.sub(lambda m: " ".join(self._spaced(m[0])), (text or "").lower())
-        return set(map(self._reading, set(apart.split())))
+        words, suspicious = set(self._apart(text)), ODD.match
+        odd = [w for w in words if suspicious(w)]
+        words.difference_update(odd)
+        words.update(map(self._reading, odd))
+        return words
 
 
 def stripped(word: str) -> str:
     return word.strip(".,;:!?\"'()[]")
 
 
-def parts(word: str) -> list[str]:
-    """Beginnings and endings by which the lexicon may know a word it hasn't seen whole."""
-    sizes = range(4, min(8, len(word)))
-    return [f"{word[:k]}*" for k in sizes] + [f"*{word[-k:]}" for k in sizes]
-
-
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(ALPHABET**3, np.int64)
     for batch in batches:
@@ -354,23 +352,47 @@ def fit_lexicon(
     return found
 
 
+#: Lengths of word beginnings and endings in the lexicon.
+PARTS = range(4, 8)
+
+
 class Scorer:
-    """Scores texts: noisy-or over the distinct words of the restored text."""
+    """Scores texts: noisy-or over the distinct words of the restored text.
+
+    A word that the lexicon doesn't hold counts by the highest share of its beginnings and endings there.
+    """
 
     def __init__(self, model: CharModel, lexicon: Mapping[str, float]) -> None:
-        self.restorer, self.lexicon = Restorer(model, lexicon), lexicon
+        self.restorer = Restorer(model, lexicon)
+        self.whole = lexicon
+        self.heads = {w[:-1]: share for w, share in lexicon.items() if w.endswith("*")}
+        self.tails = {w[1:]: share for w, share in lexicon.items() if w.startswith("*")}
         self.weights: dict[str, float] = {}
 
+    def _weight(self, word: str) -> float:
+        """Log of the chance that a word doesn't make its text toxic."""
+        plain = stripped(word)
+        share = self.whole.get(plain, 0.0)
+        if not share:
+            heads, tails = self.heads, self.tails
+            for k in PARTS:
+                if k >= len(plain):
+                    break
+                head, tail = plain[:k], plain[-k:]
+                if head in heads and heads[head] > share:
+                    share = heads[head]
+                if tail in tails and tails[tail] > share:
+                    share = tails[tail]
+        return math.log1p(-share) if share else 0.0
+
     def __call__(self, text: str | None) -> float:
-        clean = 0.0  # log of the chance that no word makes the text toxic
-        if len(self.weights) > REMEMBERED:
-            self.weights.clear()
+        clean, weights = 0.0, self.weights
+        if len(weights) > REMEMBERED:
+            weights.clear()
         for word in self.restorer.words(text):
-            weight = self.weights.get(word)
+            weight = weights.get(word)
             if weight is None:
-                plain = stripped(word)
-                share = self.lexicon.get(plain) or max((self.lexicon.get(f, 0.0) for f in parts(plain)), default=0.0)
-                weight = self.weights[word] = math.log1p(-share) if share else 0.0
+                weight = weights[word] = self._weight(word)
             clean += weight
         return 1.0 - math.exp(clean)
 
