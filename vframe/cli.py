@@ -17,7 +17,7 @@ from vframe.plans.specs import StepError
 from vframe.plans.store import VersionStore
 from vframe.sources import io
 
-#: What each command does, by name.
+# The names of the commands, and what each does.
 HELP = {
     "load-file": "load-file PATH: read a table as version 0 of a new session",
     "select-workspace": "select-workspace FOLDER: keep sessions and exports in a folder",
