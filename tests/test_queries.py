@@ -39,3 +39,15 @@ def test_query(spark, duck, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall())
+
+
+@pytest.mark.parametrize("name", ["comb_ratio"])
+def test_signed_zeros(spark, tmp_path, name):
+    values = "(VALUES (0.0::DOUBLE), ('-0.0'::DOUBLE), (2.0), (-3.0), ('inf'::DOUBLE), ('nan'::DOUBLE), (NULL))"
+    columns = "1::BIGINT AS l_partkey, 1 AS l_linenumber, a.x AS l_quantity, b.x AS l_extendedprice, c.x AS l_discount, b.x AS l_tax, 'A' AS l_returnflag"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE TABLE lineitem AS SELECT row_number() OVER () AS l_orderkey, {columns} FROM {values} a(x), {values} b(x), {values} c(x)")
+    connection.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    rows = connection.execute(f"SELECT {', '.join(df.columns)} FROM ({catalogue.ORACLE_SQL[name]})").fetchall()
+    assert sorted(tuple(map(plain, r)) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in rows)

@@ -85,6 +85,16 @@ def test_unary_edges(spark):
     assert math.isnan(out["sqrt"][2]) and out["sqrt"][3] == 2
 
 
+def test_ratio_by_negative_zero(spark):
+    rows = [(1, 1.0, -0.0), (2, -1.0, -0.0), (3, 0.0, -0.0), (4, None, -0.0), (5, 1.0, 0.0), (6, math.inf, -0.0), (7, math.nan, -0.0), (8, 3.0, None), (9, 3.0, -2.0)]
+    d = spark.createDataFrame(rows, "id long, x double, z double")
+    step = fit.transform_combination(d, ["x", "z"], "ratio", "y")
+    scope = {"df": d}
+    exec(emit.HEADER + "\n".join(emit.code(step)), scope)
+    for out in (by_id(op_of(step)(d), "y"), by_id(scope["df"], "y")):
+        assert [str(out[i]) for i in range(1, 10)] == ["-inf", "inf", "nan", "None", "inf", "-inf", "nan", "None", "-1.5"]
+
+
 def test_statistics_stay_frozen(spark):
     train = spark.createDataFrame([(1.0,), (3.0,)], "x double")
     step = fit.standardize(train, ["x"])

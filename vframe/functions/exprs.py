@@ -15,10 +15,9 @@ COMPARISONS = ("gt", "lt", "ge", "le", "eq", "ne", "is_null", "is_not_null")
 
 
 def ieee_div(a: Column, b: Column) -> Column:
-    """a / b in doubles: x/0 is an infinity by the sign of x, 0/0 is NaN, null stays null."""
+    """a / b in doubles: x/0 is an infinity by the signs of x and of the zero, 0/0 is NaN, null stays null."""
     a, b = a.cast("double"), b.cast("double")
-    by_zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).otherwise(F.signum(a) * INF)
-    return F.when(a.isNull() | b.isNull(), None).when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))  # the power of a zero is an infinity of its sign
 
 
 def ieee_log(x: Column, base: float | None = None) -> Column:

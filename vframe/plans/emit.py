@@ -23,8 +23,7 @@ NAN, INF = float("nan"), float("inf")
 def divided(a, b):
     """a / b in doubles, with infinities and NaN at zero."""
     a, b = a.cast("double"), b.cast("double")
-    at_zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).otherwise(F.signum(a) * INF)
-    return F.when(a.isNull() | b.isNull(), None).when(b == 0, at_zero).otherwise(F.try_divide(a, b))
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
 
 
 def logarithm(x):
