@@ -41,7 +41,7 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall())
 
 
-@pytest.mark.parametrize("name", ["comb_ratio", "comb_ratio_zero"])
+@pytest.mark.parametrize("name", ["comb_ratio", "comb_ratio_zero", "mono_reciprocal"])
 def test_signed_zeros(spark, tmp_path, name):
     values = "(VALUES (0.0::DOUBLE), ('-0.0'::DOUBLE), (2.0), (-3.0), ('inf'::DOUBLE), ('nan'::DOUBLE), (NULL))"
     columns = "1::BIGINT AS l_partkey, 1 AS l_linenumber, a.x AS l_quantity, b.x AS l_extendedprice, c.x AS l_discount, b.x AS l_tax, 'A' AS l_returnflag"
