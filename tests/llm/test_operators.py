@@ -384,6 +384,20 @@ def test_added_spans_on_planted_forms(spark):
     assert len(hits) >= 0.95 * len(want) and len(hits) >= 0.95 * len(added)
 
 
+def test_pii_learns_from_every_example(spark):
+    docs = spark.range(13_000).selectExpr("id AS row", "concat('u', id, '@h.org und ', 1000000 + id, ' x') AS text")
+    found = common.written(docs.select("row", pii.base_spans(F.col("text")).alias("base"), pii.candidates(F.col("text")).alias("found")))
+    examples = pii._examples(found, common.written(pii._marked(found)))
+    assert {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.sum("weight").alias("n")).collect()} == {0.0: 13_000, 1.0: 13_000}
+
+
+def test_pii_finds_what_is_rare_among_many(spark):
+    left = "CASE WHEN id % 10000 = 7 THEN 'token ' ELSE 'key for all of the doors of this house ' END"
+    docs = spark.range(120_000).selectExpr("id AS doc_id", f"concat({left}, substr(sha2(string(id), 256), 1, 24)) AS text")
+    rows = pii.find_pii(docs).where("size(added) > 0").collect()
+    assert sorted((r["doc_id"], r["added"][0]["kind"]) for r in rows) == [(i, "secret") for i in range(7, 120_000, 10_000)]
+
+
 def test_redact_by_row(spark):
     rows = [(None, "x a@b.org y", 1), (1, "mail c@d.org", 2), (1, "plain", 3), (2, None, 4), (3, "", 5), (4, "é😀 " * 900 + "1.2.3.4 end " * 3, 6)]
     out = {r["_spans"]: tuple(r) for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, _spans int")).collect()}

@@ -4,13 +4,14 @@ Four exact kinds are base spans and always stay. Beside them, high-recall genera
 overlapping candidates: any long number, any dotted quad, anything around an at sign or its spelling, any long mixed token.
 Boosted trees read the format of a candidate (digits, groups, separators, checksum) and its context
 (neighbouring characters and words), and a threshold for each kind, calibrated on
-sampled candidates that the trees haven't seen, selects those that join the base spans.
+the quarter of the examples that the trees haven't seen, selects those that join the base spans.
 
 The base patterns are no teacher for what they miss. So the trees learn from base spans rewritten into forms that the
 patterns don't know, in their own context: addresses with spelled signs, numbers without a plus or with other separators.
 Candidates beside a word that speaks for their kind are weak examples where their format allows it. Counter-examples are candidates that meet no base
 span, have no such word near, and are not of the shape of a rewritten form: those stay unlabelled, so that a corpus with many hidden forms doesn't
-teach to reject them. The trees are fitted inside the engine on a bounded sample, then written out as column expressions.
+teach to reject them. Every base span and every such candidate of the corpus is an example: features are small numbers, so equal examples
+are counted and weighed, and the trees are fitted inside the engine on the distinct ones, then written out as column expressions.
 
 Whole texts are read once, by Java regular expressions rewritten to run in linear time
 without recursion: a run starts only where the character before can't belong to it or where the
@@ -21,6 +22,7 @@ ordered windows, so no step compares all spans of a text with each other.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -65,9 +67,9 @@ NEAR = {
 }
 #: Code points of context on the left, from the last match of the same generator on.
 CONTEXT = 24
-#: Candidates, and rewritten base spans, that the trees and thresholds are fitted on, at most; documented bounds.
-SAMPLE, REWRITTEN = 12_000, 8_000
 TREES, DEPTH = 10, 4
+#: Bins of a feature, at least and at most. The engine finds split points from bins * bins rows, so bins grow as the root of the examples; the square of more overflows.
+BINS = 32, 46_340
 #: Precision among unseen examples that a threshold has to reach.
 PRECISION = 0.98
 
@@ -223,9 +225,20 @@ def _shape(kind: Column, said: Column) -> Column:
     return F.concat_ws("|", kind, shape, F.when(kind == "ip", _quad(F.regexp_replace(said, "[^0-9]+", "."))).otherwise(_luhn(_digits(said))))
 
 
-def _examples(found: DataFrame, marks: DataFrame) -> DataFrame:
-    """Labelled candidates: weak ones of the texts, and base spans rewritten."""
+def _counted(spans: DataFrame, *keys: str) -> DataFrame:
+    """Labelled spans as distinct rows of ``keys``, kind, label, side and features, with their number as weight.
+
+    A hash of a span's content says whether its examples are held out of the trees, so equal spans are on one side.
+    """
     fields = ("kind", "said", "left", "after")
+    features = _features({c: F.col(c) for c in fields})
+    held = (F.pmod(F.xxhash64(*fields), F.lit(4)) == 0).alias("held")
+    rows = spans.select(*keys, F.col("kind").alias("proposed"), "label", held, *[c.alias(n) for n, c in features.items()])
+    return rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("weight"))
+
+
+def _examples(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """All labelled candidates, counted: weak ones of the texts, and every base span rewritten."""
     near = {k: _near(k, F.col("left")) for k in NEAR}
     own = reduce(lambda c, k: c.when(F.col("kind") == k, near[k]), list(NEAR)[1:], F.when(F.col("kind") == "phone", near["phone"]))
     any_near = reduce(lambda a, b: a | b, near.values())
@@ -237,40 +250,45 @@ def _examples(found: DataFrame, marks: DataFrame) -> DataFrame:
         .otherwise(True)
     )
     label = F.when(own & sound, 1.0).when(~any_near, 0.0)
+    shape = F.when(F.col("kind").isin(*KINDS), _shape(F.col("kind"), F.col("said")))  # no other kind has base spans
     base = found.where(F.size("base") > 0).select(F.explode("base").alias("s")).select("s.kind", "s.said", "s.left", "s.after")
     made = base.withColumn("said", rewritten(F.col("kind"), F.col("said"), F.pmod(F.xxhash64("said", "left"), F.lit(3)))).withColumn("label", F.lit(1.0))
-    ordered = lambda df, n: df.withColumn("hash", F.xxhash64(*fields)).orderBy("hash", *fields, "label").limit(n)
-    made = ordered(made, REWRITTEN)
-    shape = _shape(F.col("kind"), F.col("said"))
-    forms = F.broadcast(made.select(shape.alias("shape")).distinct().withColumn("known", F.lit(True)))  # at most REWRITTEN rows
-    weak = marks.where("not base and not meets").withColumns({"label": label, "shape": shape}).join(forms, "shape", "left")
-    weak = weak.where("label = 1 or label = 0 and known is null").select(*fields, "label")
-    return ordered(weak, SAMPLE).unionByName(made)
+    made = written(_counted(made.withColumn("shape", shape), "shape"))
+    weak = marks.where("not base and not meets").withColumns({"label": label, "shape": shape}).where("label is not null")
+    weak = written(_counted(weak, "shape"))
+    sure, unsure = weak.where("label = 1 or shape is null"), weak.where("label = 0 and shape is not null")
+    unlike = unsure.join(made.select("shape").distinct(), "shape", "left_anti")
+    rows = reduce(DataFrame.unionByName, (sure, unlike, made)).drop("shape")
+    out = written(rows.groupBy(*[c for c in rows.columns if c != "weight"]).agg(F.sum("weight").alias("weight")))
+    discard(made, weak)
+    return out
 
 
 def fit(found: DataFrame, marks: DataFrame) -> tuple[GBTClassificationModel | None, dict[str, float]]:
-    """Trees and thresholds by kind, from at most SAMPLE candidates and REWRITTEN base spans, the first by a hash of their content.
+    """Trees and thresholds by kind, from every labelled candidate and every base span.
 
-    Three quarters of them grow the trees and the rest sets the thresholds. Without both examples and
+    Three quarters of them, by a hash of their content, grow the trees and the rest sets the thresholds. Without both examples and
     counter-examples there is no model; a kind without a threshold adds nothing.
     """
-    sample = _examples(found, marks)
-    features = _features({c: F.col(c) for c in ("kind", "said", "left", "after")})
-    sample = written(sample.select(F.col("kind").alias("proposed"), "label", "hash", *[c.alias(n) for n, c in features.items()]))
-    grow, hold = sample.where(F.pmod("hash", F.lit(4)) > 0), sample.where(F.pmod("hash", F.lit(4)) == 0)
+    examples = _examples(found, marks)
+    features = [c for c in examples.columns if c not in ("proposed", "label", "held", "weight")]
+    grow, hold = examples.where("not held"), examples.where("held")
     model, limits = None, {}
-    if grow.select("label").distinct().count() == 2:
-        vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(grow.orderBy("hash", *features))
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label").fit(vectors.select("features", "label"))
+    sizes = [r["count"] for r in grow.groupBy("label").count().collect()]
+    if len(sizes) == 2:
+        vectors = VectorAssembler(inputCols=features, outputCol="features").transform(grow.orderBy(*features, "label"))
+        bins = min(max(BINS[0], math.isqrt(sum(sizes)) + 1), BINS[1])
+        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, seed=7, labelCol="label", weightCol="weight")
+        model = trees.fit(vectors.select("features", "label", "weight"))
         scored = hold.withColumn("score", F.round(score(model, {n: F.col(n) for n in features}), 2))
-        seen = scored.groupBy("proposed", "score").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+        seen = scored.groupBy("proposed", "score").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good")).collect()
         for kind in ADDED_KINDS:
             n = good = 0
             for row in sorted((r for r in seen if r["proposed"] == kind), key=lambda r: -r["score"]):
                 n, good = n + row["n"], good + row["good"]
                 if good >= PRECISION * n:
                     limits[kind] = row["score"]
-    discard(sample)
+    discard(examples)
     return model, limits
 
 
